@@ -230,12 +230,13 @@ def compile_wide_projections(spark: SparkSession) -> None:
 
 def generate(df: DataFrame, row: str, columns: Sequence[dict], *, seed: int = 42, entity: str = "",
              total: int, chunk_size: int | None = None, window: Window | None = None,
-             keep: Sequence[str] = ()) -> DataFrame:
+             keep: Sequence[str] = (), key_row: str | None = None) -> DataFrame:
     """Generated ``columns`` for the rows of ``df``, numbered by the BIGINT column ``row``.
 
-    ``keep`` names columns of ``df`` to carry along.  Foreign keys come out as
-    fresh uuids here; :func:`messlab.operators.keys.fk_sample` points them at a
-    parent.
+    ``keep`` names columns of ``df`` to carry along.  Primary keys are computed
+    for the row number in ``key_row`` (by default ``row``), which is how a row
+    takes the key of another one.  Foreign keys come out as fresh uuids here;
+    :func:`messlab.operators.keys.fk_sample` points them at a parent.
     """
     compile_wide_projections(df.sparkSession)
     names = [spec["name"] for spec in columns]
@@ -243,28 +244,54 @@ def generate(df: DataFrame, row: str, columns: Sequence[dict], *, seed: int = 42
     if repeated:
         raise ValueError(f"duplicate column names: {', '.join(repeated)}")
     chunk = int(chunk_size or total or 1)
-    row_ref = quote(row)
-    row_dice = Dice((row_ref,), seed, entity)
-    chunk_no = f"({row_ref} div {chunk}L)"
-    pool = f"CAST(least({POOL_SIZE}L, least({chunk}L, {total}L - {chunk_no} * {chunk}L) + 1L) AS BIGINT)"
+    key_row = key_row or row
 
-    slots = {}
-    for spec in columns:
-        kind = spec["type"].lower()
-        if kind in POOLED or (kind == "uuid" and not spec.get("primary_key")):
-            slots[spec["name"]] = "__slot_" + spec["name"]
-    staged = df.select(row, *[c for c in keep if c != row], *[
-        F.expr(f"{chunk_no} * {POOL_SIZE}L + {row_dice.pick(pool, name, 'slot')}").alias(slot)
-        for name, slot in slots.items()])
+    def row_of(spec: dict) -> str:
+        return quote(key_row if spec.get("primary_key") else row)
+
+    slots = {spec["name"]: "__slot_" + spec["name"] for spec in columns
+             if spec["type"].lower() in POOLED or (spec["type"].lower() == "uuid" and not spec.get("primary_key"))}
+    staged = df.select(*dict.fromkeys([row, key_row, *keep]), *[
+        F.expr(slot_sql(spec["name"], row_of(spec), seed, entity, total, chunk)).alias(slots[spec["name"]])
+        for spec in columns if spec["name"] in slots])
 
     out: list[Column] = [F.col(quote(c)) for c in keep]
     for spec in columns:
-        name, kind = spec["name"], spec["type"].lower()
-        slot_dice = Dice((quote(slots[name]),), seed, entity) if name in slots else row_dice
-        out.append(_value(kind, spec, row_dice, slot_dice, row_ref, total, chunk, window).alias(name))
+        ref = row_of(spec)
+        slot_dice = Dice((quote(slots[spec["name"]]) if spec["name"] in slots else ref,), seed, entity)
+        out.append(_value(spec["type"].lower(), spec, Dice((ref,), seed, entity), slot_dice, ref, total, chunk,
+                          window).alias(spec["name"]))
     return staged.select(*out)
 
 
+def slot_sql(name: str, row: str, seed: int, entity: str, total: int, chunk: int) -> str:
+    """The pool position a row draws: one of min(5000, rows in chunk + 1) of its chunk."""
+    chunk_no = f"({row} div {chunk}L)"
+    size = f"least({POOL_SIZE}L, least({chunk}L, {total}L - {chunk_no} * {chunk}L) + 1L)"
+    return f"{chunk_no} * {POOL_SIZE}L + {Dice((row,), seed, entity).pick(size, name, 'slot')}"
+
+
+def source_row(row: str, total: int, chunk: int, pct: float, seed: int, entity: str) -> str:
+    """The row whose primary key a row takes when ``pct`` of each chunk's keys are duplicated.
+
+    In a chunk of m rows a permutation ranks all positions; those of rank below
+    max(1, floor(m * pct)) take the key at another permutation of their rank.
+    Targets and sources are thus drawn without replacement, and no row moves.
+    """
+    def within(size: int) -> str:
+        dice = Dice((row,), seed, entity)
+        count = max(1, int(size * pct))
+        position = f"({row} % {chunk}L)"
+        rank = permuted(position, size, dice, "duplicate targets", unique_over=size, chunk=size)
+        source = permuted(rank, size, dice, "duplicate sources", unique_over=size, chunk=size)
+        return f"CASE WHEN {rank} < {count}L THEN {row} - {position} + {source} ELSE {row} END"
+
+    tail = total % chunk
+    if not tail or total < chunk:
+        return within(min(chunk, total))
+    return f"CASE WHEN {row} < {total - tail}L THEN {within(chunk)} ELSE {within(tail)} END"
+
+
 def _value(kind: str, spec: dict, row_dice: Dice, slot_dice: Dice, row: str, total: int, chunk: int,
            window: Window | None) -> Column:
     name = spec["name"]

@@ -89,6 +89,12 @@ def text_key(column: str) -> str:
     return f"CAST(conv(substr(md5({column}), 1, 15), 16, 10) AS BIGINT)"
 
 
+def ntz_micros(value: str) -> str:
+    """Epoch microseconds of a TIMESTAMP_NTZ read as UTC, whatever the session time zone."""
+    since = f"({value} - TIMESTAMP_NTZ '1970-01-01 00:00:00')"
+    return f"CAST(CAST(CAST({since} AS INTERVAL SECOND) AS DECIMAL(18, 6)) * 1000000 AS BIGINT)"
+
+
 def roll(df: DataFrame, key: Sequence[str] | str, seed: int = 42,
          scope: str = "") -> tuple[DataFrame, Dice]:
     """Dice for the rows of ``df``, named by the unique key columns ``key``.
@@ -105,8 +111,10 @@ def roll(df: DataFrame, key: Sequence[str] | str, seed: int = 42,
             continue
         if isinstance(kind, T.DateType):
             value = f"CAST(unix_date({ref}) AS BIGINT)"
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            value = f"unix_micros(CAST({ref} AS TIMESTAMP))"
+        elif isinstance(kind, T.TimestampNTZType):
+            value = ntz_micros(ref)
+        elif isinstance(kind, T.TimestampType):
+            value = f"unix_micros({ref})"
         else:
             value = text_key(f"CAST({ref} AS STRING)")
         hidden_name = KEY_PREFIX + name

@@ -193,8 +193,10 @@ def header_profile(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
     ``lines`` is a text scan.  A file's first line is the one with the lowest
     offset, found by a partial aggregate over blocks and lines.
     """
-    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    firsts = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min_by("value", at).alias("line"))
+    placed = lines.select("value", F.col("_metadata.file_path").alias("path"),
+                          F.struct(F.col("_metadata.file_block_start").alias("block"),
+                                   F.monotonically_increasing_id().alias("line")).alias("at"))
+    firsts = placed.groupBy("path").agg(F.min_by("value", "at").alias("line"))
     fields = F.split("line", ",")
     given = F.array(*[F.lit(c) for c in columns])
     return firsts.select(

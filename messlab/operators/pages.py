@@ -89,10 +89,11 @@ def records(pages: DataFrame) -> DataFrame:
             .select(((F.col("page") - 1) * F.col("page_size") + F.col("at")).alias("ix"), "record.*"))
 
 
-def append_pages(pages: DataFrame, new: DataFrame, order_by: Sequence[str] | str, *,
+def append_pages(pages: DataFrame, new: DataFrame, order_by: Sequence[str] | str | None = None, *,
                  pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
     """The dump after appending ``new``: full pages keep their rows, only the tail is paged again.
 
+    Without ``order_by`` the new rows already hold their positions in ``ix``.
     Every envelope gets the new totals; write the result to a new directory.
     """
     head = browse(pages, 1, pages_per_block=pages_per_block).select("api", "page_size", "total_records").first()
@@ -105,7 +106,8 @@ def append_pages(pages: DataFrame, new: DataFrame, order_by: Sequence[str] | str
     kept = pages.filter(F.col("page") <= full).withColumns({
         "total_pages": F.lit(total_pages).cast("long"), "total_records": F.lit(total).cast("long")})
     tail = browse(pages, full + 1, pages_per_block=pages_per_block) if old_total % size else None
-    shifted = dense_index(new.select(*columns), columns_of(order_by)).withColumn("ix", F.col("ix") + old_total)
+    indexed = new if order_by is None else dense_index(new, columns_of(order_by))
+    shifted = indexed.select((F.col("ix") + old_total).alias("ix"), *refs(columns))
     rows = shifted if tail is None else records(tail).unionByName(shifted)
     placed = with_pages(rows.withColumn("total_records", F.lit(total).cast("long")), size)
     fresh = envelopes(placed, api, size, columns, pages_per_block=pages_per_block)

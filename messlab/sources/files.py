@@ -97,23 +97,24 @@ def write_json(df: DataFrame, path: str, *, file_key: str = FILE_KEY, key: Seque
     lines.select(file_key, "value").write.mode("append").partitionBy(file_key).text(path)
 
 
-def write_sheets(df: DataFrame, path: str, *, position: str, rows_per_file: int, file_key: str = FILE_KEY,
-                 summary: bool = False, split: bool = False, sheet: str = "Sheet1") -> None:
+def write_sheets(df: DataFrame, path: str, *, rows_per_file: int, position: str = "position",
+                 file_key: str = FILE_KEY, summary: bool = False, split: bool = False,
+                 sheet: str = "Sheet1") -> None:
     """Append the tables of one workbook per file, as Parquet under file_date=/sheet=.
 
-    ``position`` is SQL for the row's place in its file.  The total row counts
-    as the file's last line, so it also takes part in the split.
+    The column ``position`` is the row's place in its file.  The total row
+    counts as the file's last line, so it takes part in the split.
     """
     lines = rows_per_file + (1 if summary else 0)
     halves = split and lines > 2
-    first = F.expr(position) < lines // 2
+    first = F.col(position) < lines // 2
     name = F.when(first, f"{sheet}_1").otherwise(f"{sheet}_2") if halves else F.lit(sheet)
-    placed = df.withColumn("sheet", name)
+    body = df.withColumn("sheet", name).drop(position)
     if summary:
-        body = shape.with_total_type(placed)
-        closing = shape.total_rows(df, by=file_key).withColumn("sheet", F.lit(f"{sheet}_2" if halves else sheet))
-        placed = body.unionByName(closing)
-    placed.write.mode("append").partitionBy(file_key, "sheet").parquet(path)
+        closing = shape.total_rows(df.drop(position), by=file_key).withColumn(
+            "sheet", F.lit(f"{sheet}_2" if halves else sheet))
+        body = shape.with_total_type(body).unionByName(closing)
+    body.write.mode("append").partitionBy(file_key, "sheet").parquet(path)
 
 
 def file_manifest(files: DataFrame, entity: str, fmt: str) -> DataFrame:

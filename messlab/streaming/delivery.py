@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from messlab.functions.columns import to_ntz
+from messlab.functions.rng import ntz_micros, quote
+
 STOP_AFTER = 3600
 
 
@@ -31,10 +34,11 @@ def deliver(stream: DataFrame, path: str, checkpoint: str, *, partition_by: str
 def daily_counts(stream: DataFrame, time: str, delay: str) -> DataFrame:
     """Rows per tumbling day once the watermark has closed it.
 
-    A watermark needs TIMESTAMP, so zone-free times are read as UTC.
+    A watermark needs TIMESTAMP, so a zone-free time is read as UTC and the day
+    is given back zone-free.
     """
-    stamp = F.to_utc_timestamp(F.col(time).cast("timestamp"), F.current_timezone())
-    return (stream.withColumn("__time", F.to_utc_timestamp(stamp, "UTC"))
+    instant = F.expr(f"timestamp_micros({ntz_micros(quote(time))})")
+    return (stream.withColumn("__time", instant)
             .withWatermark("__time", delay)
             .groupBy(F.window("__time", "1 day").alias("w")).agg(F.count("*").alias("rows"))
-            .select(F.col("w.start").alias("start"), "rows"))
+            .select(F.expr(to_ntz("unix_micros(w.start)")).alias("day_start"), "rows"))
