@@ -122,7 +122,8 @@ def _write_file_source(builder: Builder, source: Spec, out: str) -> Spec:
     names = [c["name"] for c in source["columns"]]
     settings = rates(builder.spec, source)
     rows = builder.file_source(source)
-    scope = {"seed": builder.seed, "scope": source["name"]}
+    # Rows are generated file by file, so each task already holds few files.
+    scope = {"seed": builder.seed, "scope": source["name"], "clustered": True}
     per_file = builder.rows or source["rows_per_file"]
     body = rows.select(files.FILE_KEY, *names)
     if kind == "csv":

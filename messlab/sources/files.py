@@ -45,8 +45,18 @@ def file_name(pattern: str) -> str:
             f"'{{week}}', CAST(file_no + 1 AS STRING))")
 
 
+def gathered(df: DataFrame, file_key: str, clustered: bool) -> DataFrame:
+    """Rows of a file brought together unless they already are.
+
+    Rebalancing lets adaptive execution merge small files and split a large
+    one, so a date with a third of the rows is still written by many tasks.
+    """
+    return df if clustered else df.hint("rebalance", file_key)
+
+
 def write_csv(df: DataFrame, path: str, *, file_key: str = FILE_KEY, missing_header_pct: float = 0.0,
-              order_drift: bool = False, mixed_dates: bool = False, seed: int = 42, scope: str = "") -> None:
+              order_drift: bool = False, mixed_dates: bool = False, clustered: bool = False, seed: int = 42,
+              scope: str = "") -> None:
     """Append CSV files; headers, column orders and date formats vary per file as asked."""
     columns = [c for c in df.columns if c != file_key]
     if mixed_dates:
@@ -62,23 +72,24 @@ def write_csv(df: DataFrame, path: str, *, file_key: str = FILE_KEY, missing_hea
     for variant in variants:
         part = marked.filter((F.col("headerless") == variant["headerless"])
                              & (F.col("order_variant") == variant["order_variant"]))
-        (part.select(file_key, *refs(orders[variant["order_variant"]]))
-         .write.mode("append").partitionBy(file_key)
+        chosen = part.select(file_key, *refs(orders[variant["order_variant"]]))
+        (gathered(chosen, file_key, clustered).write.mode("append").partitionBy(file_key)
          .options(header=not variant["headerless"], **TIMES).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, *, file_key: str = FILE_KEY, keep: Sequence[str] = (),
-                  schema_evolution: bool = False, seed: int = 42, scope: str = "") -> None:
+                  schema_evolution: bool = False, clustered: bool = False, seed: int = 42,
+                  scope: str = "") -> None:
     """Append Parquet files; with evolution some files lack one column not in ``keep``."""
     if not schema_evolution:
-        df.write.mode("append").partitionBy(file_key).parquet(path)
+        gathered(df, file_key, clustered).write.mode("append").partitionBy(file_key).parquet(path)
         return
     candidates = [c for c in df.columns if c != file_key and c not in keep]
     marked = shape.dropped_column(df, file_key, candidates, seed=seed, scope=scope)
     for variant in marked.select("dropped").distinct().collect():
         name = variant["dropped"]
         part = marked.filter(F.col("dropped").eqNullSafe(F.lit(name))).drop("dropped", *([name] if name else []))
-        part.write.mode("append").partitionBy(file_key).parquet(path)
+        gathered(part, file_key, clustered).write.mode("append").partitionBy(file_key).parquet(path)
 
 
 def read_evolved(spark: SparkSession, path: str) -> DataFrame:
@@ -88,13 +99,14 @@ def read_evolved(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(df: DataFrame, path: str, *, file_key: str = FILE_KEY, key: Sequence[str] | str | None = None,
                columns: Sequence[str] | None = None, nested: bool = False, missing: bool = False,
-               seed: int = 42, scope: str = "") -> None:
+               clustered: bool = False, seed: int = 42, scope: str = "") -> None:
     """Append JSON Lines; nesting and missing keys vary per record as asked."""
     columns = list(columns or [c for c in df.columns if c != file_key])
     lines = shape.json_records(df, key or columns[0], columns, nested=shape.NESTED if nested else 0.0,
                                missing=shape.MISSING_KEYS if missing else 0.0, name="value", seed=seed,
                                scope=scope)
-    lines.select(file_key, "value").write.mode("append").partitionBy(file_key).text(path)
+    (gathered(lines.select(file_key, "value"), file_key, clustered)
+     .write.mode("append").partitionBy(file_key).text(path))
 
 
 def write_sheets(df: DataFrame, path: str, *, rows_per_file: int, position: str = "position",
