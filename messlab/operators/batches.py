@@ -38,7 +38,7 @@ def daily_rows(spark: SparkSession, start: str, end: str, rows_per_day: int) ->
 
 def append(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of both; a column that one side lacks is null there."""
-    return old.unionByName(new, allowMissingColumns=True)
+    return old.toDF(*old.columns).unionByName(new, allowMissingColumns=True)
 
 
 def accounting(df: DataFrame, day: str = "day") -> DataFrame:
