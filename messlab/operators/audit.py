@@ -96,6 +96,13 @@ def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFr
         keys, F.col(quote(fk)).cast("string") == F.col("__pk"), "left_anti")
 
 
+def mark_orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, name: str = "orphan") -> DataFrame:
+    """Child rows with a flag for a non-null key that has no parent."""
+    known = parent.select(F.col(quote(pk)).cast("string").alias("__pk")).na.drop().distinct()
+    marked = child.join(known, F.col(quote(fk)).cast("string") == F.col("__pk"), "left")
+    return marked.withColumn(name, F.col(quote(fk)).isNotNull() & F.col("__pk").isNull()).drop("__pk")
+
+
 def orphan_profile(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """rows, null_keys, orphans and rate; child rows are folded per key before the join."""
     used = child.groupBy(F.col(quote(fk)).cast("string").alias("fk")).agg(F.count("*").alias("n"))
@@ -152,13 +159,13 @@ def json_type_profile(records: DataFrame, text: str, expected: Mapping[str, str]
     Types are object, array, string, number, boolean and null; a key that no
     record holds shows up with no rows and the issue "missing".
     """
-    value = F.parse_json(F.col(quote(text)))
-    keys = records.select(value.alias("v"), F.explode(F.json_object_keys(F.col(quote(text)))).alias("column"))
-    kind = F.schema_of_variant(F.try_variant_get("v", F.concat(F.lit("$['"), "column", F.lit("']")), "variant"))
+    parsed = records.select(F.parse_json(F.col(quote(text))).alias("v")).alias("record")
+    keys = parsed.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("record.v").outer()).alias("entry"))
+    kind = F.schema_of_variant("entry.value")
     named = (F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array")
              .when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
              .when(kind == "VOID", "null").otherwise("number"))
-    seen = keys.groupBy("column", named.alias("found")).agg(F.count("*").alias("rows"))
+    seen = keys.groupBy(F.col("entry.key").alias("column"), named.alias("found")).agg(F.count("*").alias("rows"))
     want = F.create_map(*[F.lit(x) for pair in expected.items() for x in pair])[F.col("column")]
     judged = seen.withColumn("expected", want)
     issue = (F.when(F.col("expected").isNull(), "extra").when(F.col("found") == "null", "null")
@@ -178,13 +185,30 @@ def json_shape_profile(records: DataFrame, text: str, columns: Sequence[str],
     parsed = records.select(F.from_json(F.col(quote(text)), flat).alias("top")).withColumn(
         "below", F.from_json(F.col("top")[nest], flat))
 
-    def of(c: str) -> dict[str, Column]:
-        on_top = F.map_contains_key("top", F.lit(c))
-        nested = F.coalesce(F.map_contains_key("below", F.lit(c)), F.lit(False))
-        value = F.when(on_top, F.col("top")[c]).otherwise(F.col("below")[c])
-        return {"present": (on_top | nested) & value.isNotNull(), "null_value": (on_top | nested) & value.isNull(),
-                "nested": nested, "missing": ~on_top & ~nested}
-    return profile(parsed, {c: of(c) for c in columns})
+    def entries(source: str, nested: bool) -> Column:
+        return F.transform(F.map_entries(source), lambda e: F.struct(
+            e["key"].alias("key"), e["value"].alias("value"), F.lit(nested).alias("nested")))
+
+    # One entry without a key per record counts the records themselves.
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"),
+                            F.lit(False).alias("nested")))
+    lines = F.concat(mark, F.coalesce(entries("top", False), F.array()), F.coalesce(entries("below", True), F.array()))
+    found = parsed.select(F.explode(lines).alias("entry")).filter(
+        F.col("entry.key").isNull() | F.col("entry.key").isin(list(columns))).groupBy("entry.key").agg(
+        F.count("*").alias("held"), F.count("entry.value").alias("present"), F.count_if("entry.nested").alias("nested"))
+
+    def of(c: str | None, count: str) -> Column:
+        match = F.col("key").isNull() if c is None else F.col("key") == c
+        return F.coalesce(F.sum(F.when(match, F.col(count))), F.lit(0))
+
+    wide = found.agg(of(None, "held").alias("rows"), *[
+        of(c, count).alias(f"{i}_{count}") for i, c in enumerate(columns) for count in ("held", "present", "nested")])
+    each = [F.struct(F.lit(c).alias("column"), F.col(f"{i}_present").alias("present"),
+                     (F.col(f"{i}_held") - F.col(f"{i}_present")).alias("null_value"),
+                     F.col(f"{i}_nested").alias("nested"),
+                     (F.col("rows") - F.col(f"{i}_held")).alias("missing")) for i, c in enumerate(columns)]
+    return wide.select("rows", F.explode(F.array(*each)).alias("line")).select(
+        "line.column", "rows", "line.present", "line.null_value", "line.nested", "line.missing")
 
 
 def header_profile(lines: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from messlab.functions.rng import quote, roll, unroll
 
 HASH, BUCKET, OFFSET, TOTAL = "__hash", "__bucket", "__offset", "__total"
+# What one task sorts without trouble, and how many group sizes are sent to every executor.
+ROWS_PER_WINDOW = 1 << 20
+BROADCAST_GROUPS = 1_000_000
 JSON_FORMATS = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -61,36 +64,76 @@ def _offsets(counts: DataFrame, by: Sequence[str]) -> DataFrame:
             .drop("count"))
 
 
-def _placed(bucketed: DataFrame, by: Sequence[str], order: Sequence[Column], name: str,
-            total: str | None) -> DataFrame:
-    offsets = _offsets(bucketed.groupBy(*by, BUCKET).count(), by)
-    if by:
-        marks = [f"__by_{i}" for i in range(len(by))]
-        offsets = offsets.select(*[F.col(quote(b)).alias(m) for b, m in zip(by, marks)],
-                                 F.col(BUCKET).alias("__at"), OFFSET, TOTAL)
-        match = F.col(BUCKET) == F.col("__at")
-        for b, m in zip(by, marks):
-            match &= F.col(quote(b)).eqNullSafe(F.col(m))
-        joined = bucketed.join(offsets, match, "inner").drop("__at", *marks)
-    else:
-        joined = bucketed.join(F.broadcast(offsets), BUCKET)
-    rank = F.row_number().over(Window.partitionBy(*refs(by), BUCKET).orderBy(*order))
-    placed = joined.withColumn(name, rank + F.col(OFFSET) - 1)
+def _placed(bucketed: DataFrame, order: Sequence[Column], name: str, total: str | None) -> DataFrame:
+    offsets = _offsets(bucketed.groupBy(BUCKET).count(), ())
+    rank = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*order))
+    placed = bucketed.join(F.broadcast(offsets), BUCKET).withColumn(name, rank + F.col(OFFSET) - 1)
     if total:
         placed = placed.withColumn(total, F.col(TOTAL))
     return placed.drop(BUCKET, OFFSET, TOTAL, HASH)
 
 
 def hash_index(df: DataFrame, key: Sequence[str] | str, *, by: Sequence[str] | str = (), seed: int = 42,
-               scope: str = "index", name: str = "ix", total: str | None = None) -> DataFrame:
+               scope: str = "index", name: str = "ix", total: str | None = None,
+               rows: int | None = None) -> DataFrame:
     """Positions 0..n-1 in the order of (hash, key), within each group of ``by``.
 
-    A group spreads over all hash buckets, so one group with a third of the rows
-    is still ranked by many tasks.
+    ``rows`` is the number of rows where the caller has counted them: what one
+    task can sort is ranked by one window without buckets.
     """
     key, by = columns_of(key), columns_of(by)
+    if by:
+        return _group_index(df, key, by, seed, scope, name, total)
     hashed = with_hash(df, key, seed, scope, bucket_bits(df))
-    return _placed(hashed, by, [F.col(HASH), *refs(key)], name, total)
+    order = [F.col(HASH), *refs(key)]
+    if rows is not None and rows <= ROWS_PER_WINDOW and not total:
+        ranked = hashed.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+        return ranked.drop(HASH, BUCKET)
+    return _placed(hashed, order, name, total)
+
+
+def _group_index(df: DataFrame, key: Sequence[str], by: Sequence[str], seed: int, scope: str, name: str,
+                 total: str | None) -> DataFrame:
+    """Positions within groups; a group larger than a window's share is cut into hash buckets.
+
+    Group sizes decide how many: a group of n rows gets the power of two that
+    leaves about ROWS_PER_WINDOW rows a bucket, so small groups cost no extra
+    rows and one group with a third of the table is ranked by many tasks.
+    """
+    hashed = with_hash(df, key, seed, scope, 0)
+    order = [F.col(HASH), *refs(key)]
+    sizes = df.groupBy(*refs(by)).agg(F.count("*").alias(TOTAL))
+    groups, biggest = sizes.agg(F.count("*"), F.coalesce(F.max(TOTAL), F.lit(0))).first()
+    if biggest <= ROWS_PER_WINDOW:
+        group = Window.partitionBy(*refs(by))
+        placed = hashed.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("long") - 1)
+        if total:
+            placed = placed.withColumn(total, F.count("*").over(group))
+        return placed.drop(HASH, BUCKET)
+    sized = _match(hashed, sizes, by, broadcast=groups <= BROADCAST_GROUPS)
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col(TOTAL) / ROWS_PER_WINDOW))).cast("int")
+    bucketed = sized.withColumn("__bits", bits).withColumn(
+        BUCKET, F.expr(f"CAST(shiftright({HASH}, 32 - __bits) AS INT)"))
+    counts = bucketed.filter("__bits > 0").groupBy(*refs(by), BUCKET).count()
+    starts = _offsets(counts, by).drop(TOTAL)
+    # About one start per ROWS_PER_WINDOW rows of the table.
+    joined = _match(bucketed, starts, [*by, BUCKET], how="left")
+    rank = F.row_number().over(Window.partitionBy(*refs(by), BUCKET).orderBy(*order))
+    placed = joined.withColumn(name, rank + F.coalesce(F.col(OFFSET), F.lit(0)) - 1)
+    if total:
+        placed = placed.withColumn(total, F.col(TOTAL))
+    return placed.drop(BUCKET, OFFSET, TOTAL, HASH, "__bits")
+
+
+def _match(df: DataFrame, side: DataFrame, on: Sequence[str], *, broadcast: bool = False,
+           how: str = "inner") -> DataFrame:
+    """Join on columns that may be null; null matches null."""
+    marks = {c: f"__on_{i}" for i, c in enumerate(on)}
+    right = side.withColumnsRenamed(marks)
+    match = F.lit(True)
+    for c, mark in marks.items():
+        match &= F.col(quote(c)).eqNullSafe(F.col(mark))
+    return df.join(F.broadcast(right) if broadcast else right, match, how).drop(*marks.values())
 
 
 def sample_condition(df: DataFrame, key: Sequence[str] | str, k: int | None = None, *,
@@ -171,7 +214,7 @@ def dense_index(df: DataFrame, order_by: Sequence[str] | str, *, name: str = "ix
                 total: str | None = None) -> DataFrame:
     """Positions 0..n-1 in the order of the unique columns ``order_by``."""
     order_by = columns_of(order_by)
-    return _placed(with_range_bucket(df, order_by), (), refs(order_by), name, total)
+    return _placed(with_range_bucket(df, order_by), refs(order_by), name, total)
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str] | str, k: int, n: int) -> Column:

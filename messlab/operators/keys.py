@@ -8,12 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from messlab.functions.rng import quote, roll, unroll, uuid_sql
+from messlab.operators import index
 from messlab.operators.index import columns_of, hash_index, sample
 
 POOL_CAP = 500_000
 BROADCAST_BYTES = 64 << 20
-BROADCAST_GROUPS = 1_000_000
-
 PICK = "__pick"
 
 
@@ -64,7 +63,7 @@ def key_pool(df: DataFrame, pk: str, cap: int | None = POOL_CAP, *, seed: int =
     if cap is not None and size > cap:
         keys = sample(keys, "key", cap, seed=seed, scope="key pool")
         size, width = cap, -(-width * cap // size)
-    frame = hash_index(keys, "key", seed=seed, scope="key pool")
+    frame = hash_index(keys, "key", seed=seed, scope="key pool", rows=size)
     return KeyPool(frame.select("ix", "key"), size, width, df.schema[pk].dataType)
 
 
@@ -102,14 +101,12 @@ def fk_sample_within(child: DataFrame, key: Sequence[str] | str, child_by: str,
     """
     pairs = (parent.select(F.col(quote(parent_by)).alias("__by"), F.col(quote(parent_key)).alias("__parent"))
              .na.drop().distinct())
-    pool = hash_index(pairs, ["__by", "__parent"], by="__by", seed=seed, scope="key pool", name=PICK,
-                      total="__size")
-    groups = pool.groupBy("__by").agg(F.max("__size").alias("__size"))
+    groups = pairs.groupBy("__by").agg(F.count("*").alias("__size"))
     width = F.coalesce(F.sum(F.octet_length(F.col("__parent").cast("string"))), F.lit(0))
     rows, width, n_groups = pairs.agg(F.count("*"), width, F.approx_count_distinct("__by")).first()
-    if n_groups <= BROADCAST_GROUPS:
+    if n_groups <= index.BROADCAST_GROUPS:
         groups = F.broadcast(groups)
-    pool = pool.drop("__size")
+    pool = hash_index(pairs, ["__by", "__parent"], by="__by", seed=seed, scope="key pool", name="__ix")
     if fits(rows, width):
         pool = F.broadcast(pool)
 
@@ -119,8 +116,7 @@ def fk_sample_within(child: DataFrame, key: Sequence[str] | str, child_by: str,
     orphan = dice.chance(orphan_pct, name, "orphan")
     sized = sized.withColumn(PICK, F.expr(f"CASE WHEN `__size` IS NOT NULL AND NOT {orphan} THEN {pick} END"))
     joined = sized.join(
-        pool.withColumnRenamed(PICK, "__ix"),
-        (F.col(quote(child_by)) == F.col("__by")) & (F.col(PICK) == F.col("__ix")), "left")
+        pool, (F.col(quote(child_by)) == F.col("__by")) & (F.col(PICK) == F.col("__ix")), "left")
     value = F.when(F.col(PICK).isNull(), F.expr(uuid_sql(dice, name))).otherwise(
         F.col("__parent").cast("string"))
     return unroll(joined.withColumn(name, value).drop(PICK, "__ix", "__size", "__by", "__parent"), dice)

@@ -55,11 +55,15 @@ def order_children(spark, sf, customer: DataFrame) -> DataFrame:
 
 @query
 def fk_sample_orphans(spark, sf):
-    """One child per order pointing at a real customer, 5 % orphans, told apart by an anti join."""
+    """One child per order pointing at a real customer, 5 % orphans, found again by their lack of a parent."""
     customer = load(spark, sf, "customer")
-    child = order_children(spark, sf, customer)
-    orphans = audit.orphan_rows(child, "customer_key", customer, "c_custkey").withColumn("orphan", F.lit(1))
-    return child.join(orphans.select("o_orderkey", "orphan"), "o_orderkey", "left").fillna(0, ["orphan"])
+    return audit.mark_orphans(order_children(spark, sf, customer), "customer_key", customer, "c_custkey")
+
+
+@query
+def orphan_rows(spark, sf):
+    customer = load(spark, sf, "customer")
+    return audit.orphan_rows(order_children(spark, sf, customer), "customer_key", customer, "c_custkey")
 
 
 @query

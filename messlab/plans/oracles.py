@@ -94,9 +94,12 @@ WITH pool AS ({pool("SELECT DISTINCT c_custkey AS key FROM customer WHERE c_cust
 child AS (SELECT o_orderkey, {ORDERS.hit(0.05, 'customer_key', 'orphan')} AS lost,
   {ORDERS.pick('(SELECT count(*) FROM pool)', 'customer_key', 'parent')} AS pick,
   {ORDERS.uuid('customer_key')} AS fresh FROM orders)
-SELECT o_orderkey, CASE WHEN lost THEN fresh ELSE key::VARCHAR END AS customer_key, lost::INT AS orphan
+SELECT o_orderkey, CASE WHEN lost THEN fresh ELSE key::VARCHAR END AS customer_key, lost AS orphan
 FROM child JOIN pool ON pick = ix"""
 
+ORACLES["orphan_rows"] = f"""
+SELECT o_orderkey, {ORDERS.uuid('customer_key')} AS customer_key FROM orders
+WHERE {ORDERS.hit(0.05, 'customer_key', 'orphan')}"""
 ORACLES["orphan_audit"] = f"""
 SELECT count(*) AS rows, 0 AS null_keys, count(*) FILTER (WHERE {ORDERS.hit(0.05, 'customer_key', 'orphan')}) AS orphans,
   orphans / count(*) AS rate FROM orders"""

@@ -33,13 +33,33 @@ def test_a_hot_leading_value_is_split(hot):
     assert biggest < 9000 / 10
 
 
-def test_a_hot_group_is_ranked_by_many_buckets(hot):
-    ranked = index.hash_index(hot, "id", by="lead", total="n")
-    bounds = ranked.groupBy("lead").agg(F.min("ix"), F.max("ix"), F.countDistinct("ix"), F.max("n"), F.count("*"))
-    for row in bounds.collect():
-        assert row[1] == 0 and row[2] == row[5] - 1 and row[3] == row[4] == row[5]
-    hashed = index.with_hash(hot, "id", 42, "index", index.bucket_bits(hot)).filter("lead = 5")
-    assert hashed.groupBy(index.BUCKET).count().agg(F.max("count")).first()[0] < 40
+@pytest.mark.parametrize("window", [1 << 20, 1000, 10])
+def test_positions_within_groups(hot, monkeypatch, window):
+    """Groups of any size, also the null group and one with a third of the rows."""
+    monkeypatch.setattr(index, "ROWS_PER_WINDOW", window)
+    ranked = index.hash_index(hot, "id", by="lead", total="n").toPandas()
+    assert len(ranked) == 9000
+    for _, part in ranked.groupby("lead", dropna=False):
+        assert sorted(part["ix"]) == list(range(len(part))) and set(part["n"]) == {len(part)}
+    monkeypatch.setattr(index, "ROWS_PER_WINDOW", 1 << 20)
+    again = index.hash_index(hot, "id", by="lead").toPandas()
+    assert list(again.sort_values("id")["ix"]) == list(ranked.sort_values("id")["ix"])
+
+
+def test_a_hot_group_is_ranked_by_many_tasks(spark, hot, monkeypatch):
+    monkeypatch.setattr(index, "ROWS_PER_WINDOW", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = index.hash_index(hot, "id", by="lead").groupBy(F.spark_partition_id()).count()
+        assert tasks.agg(F.max("count")).first()[0] < 9000 / 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_known_small_tables_are_ranked_by_one_window(hot):
+    quick = index.hash_index(hot, "id", rows=9000).select("id", "ix")
+    bucketed = index.hash_index(hot, "id").select("id", "ix")
+    assert quick.exceptAll(bucketed).isEmpty() and quick.schema == bucketed.schema
 
 
 @pytest.mark.parametrize("k", [0, 1, 2, 4500, 8999, 9000, 20_000])

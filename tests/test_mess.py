@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from messlab.operators import audit, keys, mess
+from messlab.operators import audit, index, keys, mess
 
 N = 20_000
 
@@ -188,6 +188,7 @@ def test_same_day_keys_with_a_hot_day(spark, monkeypatch):
     known = child.join(parent, "day", "left_semi").count()
     assert within(held.count(), 0.9, known)
     monkeypatch.setattr(keys, "BROADCAST_BYTES", 1)
-    monkeypatch.setattr(keys, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(index, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(index, "ROWS_PER_WINDOW", 100)
     again = keys.fk_sample_within(child, "id", "day", parent, "day", "id", "fk", orphan_pct=0.1)
     assert again.exceptAll(made).isEmpty() and made.exceptAll(again).isEmpty()
