@@ -13,6 +13,7 @@ columns that follow it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -165,7 +166,10 @@ def sample_condition(df: DataFrame, key: Sequence[str] | str, k: int | None = No
     last = (hashed.filter(F.col(BUCKET) == size[BUCKET])
             .select(*refs(order)).orderBy(*refs(order)).offset(k - seen - 1).limit(1)
             .select(F.to_json(F.struct(*refs(order)), JSON_FORMATS).alias("key")).first()["key"])
-    return hashed, F.struct(*refs(order)) <= _literal(hashed, order, last), k
+    cut = json.loads(last)[HASH]
+    # The hash alone decides nearly every row; only ties look at the key.
+    tied = (F.col(HASH) == cut) & (F.struct(*refs(order)) <= _literal(hashed, order, last))
+    return hashed, (F.col(HASH) < cut) | tied, k
 
 
 def sample(df: DataFrame, key: Sequence[str] | str, k: int | None = None, *,
