@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from messlab.functions.rng import quote
 from messlab.operators.mess import FAR_FUTURE, FAR_PAST, as_timestamp
 from messlab.operators.shape import numeric_columns
+from messlab.operators.skew import lookup
 
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
@@ -89,29 +90,31 @@ def duplicate_key_profile(df: DataFrame, pk: str) -> DataFrame:
     return found.select("*", rate("surplus_rows"))
 
 
+def _known(parent: DataFrame, pk: str) -> DataFrame:
+    return parent.select(F.col(quote(pk)).cast("string").alias("__pk")).na.drop().distinct()
+
+
 def orphan_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """Child rows whose non-null key has no parent."""
-    keys = parent.select(F.col(quote(pk)).cast("string").alias("__pk"))
-    return child.filter(F.col(quote(fk)).isNotNull()).join(
-        keys, F.col(quote(fk)).cast("string") == F.col("__pk"), "left_anti")
+    used = child.withColumn("__fk", F.col(quote(fk)).cast("string")).filter("__fk IS NOT NULL")
+    return lookup(used, "__fk", _known(parent, pk), "__pk", "left_anti").drop("__fk")
 
 
 def mark_orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, name: str = "orphan") -> DataFrame:
     """Child rows with a flag for a non-null key that has no parent."""
-    known = parent.select(F.col(quote(pk)).cast("string").alias("__pk")).na.drop().distinct()
-    marked = child.join(known, F.col(quote(fk)).cast("string") == F.col("__pk"), "left")
-    return marked.withColumn(name, F.col(quote(fk)).isNotNull() & F.col("__pk").isNull()).drop("__pk")
+    used = child.withColumn("__fk", F.col(quote(fk)).cast("string"))
+    marked = lookup(used, "__fk", _known(parent, pk), "__pk", "left")
+    return marked.withColumn(name, F.col("__fk").isNotNull() & F.col("__pk").isNull()).drop("__fk", "__pk")
 
 
 def orphan_profile(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     """rows, null_keys, orphans and rate; child rows are folded per key before the join."""
     used = child.groupBy(F.col(quote(fk)).cast("string").alias("fk")).agg(F.count("*").alias("n"))
-    known = parent.select(F.col(quote(pk)).cast("string").alias("fk")).na.drop().distinct().withColumn(
-        "known", F.lit(True))
-    found = used.join(known, "fk", "left").agg(
+    known = _known(parent, pk)
+    found = used.join(known, F.col("fk") == F.col("__pk"), "left").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("fk").isNull(), F.col("n"))), F.lit(0)).alias("null_keys"),
-        F.coalesce(F.sum(F.when(F.col("fk").isNotNull() & F.col("known").isNull(), F.col("n"))),
+        F.coalesce(F.sum(F.when(F.col("fk").isNotNull() & F.col("__pk").isNull(), F.col("n"))),
                    F.lit(0)).alias("orphans"))
     return found.select("*", rate("orphans"))
 

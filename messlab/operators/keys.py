@@ -8,11 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from messlab.functions.rng import quote, roll, unroll, uuid_sql
-from messlab.operators import index
+from messlab.operators import index, skew
 from messlab.operators.index import columns_of, hash_index, sample
+from messlab.sources.workspace import scratch
 
 POOL_CAP = 500_000
 BROADCAST_BYTES = 64 << 20
+FEW_PARENTS = 1000
+
 PICK = "__pick"
 
 
@@ -39,6 +42,7 @@ def candidate_keys(df: DataFrame, pk: str, cap: int | None, seed: int) -> DataFr
 
     The cap smallest (hash, key) are wanted and a hash threshold commutes with
     distinct, so a parent of any size shuffles little more than ``cap`` keys.
+    The thinned keys are written once; the steps that follow read those.
     """
     keys = df.select(F.col(quote(pk)).alias("key")).na.drop()
     if cap is None:
@@ -46,25 +50,37 @@ def candidate_keys(df: DataFrame, pk: str, cap: int | None, seed: int) -> DataFr
     expected = keys.agg(F.approx_count_distinct("key", 0.02).alias("n")).first()["n"]
     share = 1.0 if expected <= 1.5 * cap else 1.5 * cap / expected
     rolled, dice = roll(keys, "key", seed, "key pool")
-    while True:
-        kept = keys if share >= 1 else unroll(
-            rolled.filter(F.expr(f"{dice.draw('order')} < {round(share * (1 << 32))}L")), dice)
-        thinned = kept.distinct()
-        if share >= 1 or thinned.count() >= cap:
+    while share < 1:
+        kept = rolled.filter(F.expr(f"{dice.draw('order')} < {round(share * (1 << 32))}L"))
+        thinned = stored(unroll(kept, dice).distinct(), "keys")
+        if thinned.count() >= cap:
             return thinned
         share *= 2
+    return keys.distinct()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written to shared scratch space and read back."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def key_pool(df: DataFrame, pk: str, cap: int | None = POOL_CAP, *, seed: int = 42) -> KeyPool:
-    """Distinct non-null keys of ``pk``; a uniform choice of ``cap`` of them if there are more."""
+    """Distinct non-null keys of ``pk``; a uniform choice of ``cap`` of them if there are more.
+
+    The pool is written once, so every foreign key that draws from it reads the
+    same few keys instead of deriving them from the parent again.
+    """
     keys = candidate_keys(df, pk, cap, seed)
-    width = F.coalesce(F.sum(F.octet_length(F.col("key").cast("string"))), F.lit(0))
-    size, width = keys.agg(F.count("*"), width).first()
+    size = keys.count()
     if cap is not None and size > cap:
         keys = sample(keys, "key", cap, seed=seed, scope="key pool")
-        size, width = cap, -(-width * cap // size)
-    frame = hash_index(keys, "key", seed=seed, scope="key pool", rows=size)
-    return KeyPool(frame.select("ix", "key"), size, width, df.schema[pk].dataType)
+        size = cap
+    indexed = hash_index(keys, "key", seed=seed, scope="key pool", rows=size)
+    pool = stored(indexed.select("ix", "key"), "pool")
+    width = pool.agg(F.coalesce(F.sum(F.octet_length(F.col("key").cast("string"))), F.lit(0))).first()[0]
+    return KeyPool(pool, size, width, df.schema[pk].dataType)
 
 
 def fk_sample(child: DataFrame, key: Sequence[str] | str, pool: KeyPool, name: str, *,
@@ -97,26 +113,34 @@ def fk_sample_within(child: DataFrame, key: Sequence[str] | str, child_by: str,
 
     Rows whose group has no parent hold fresh uuids.  Group sizes and the pool
     are broadcast only after their size was measured; beyond that the joins
-    shuffle, and adaptive execution splits a hot group on the child side.
+    shuffle, with the rows of hot groups split off.
     """
     pairs = (parent.select(F.col(quote(parent_by)).alias("__by"), F.col(quote(parent_key)).alias("__parent"))
              .na.drop().distinct())
     groups = pairs.groupBy("__by").agg(F.count("*").alias("__size"))
     width = F.coalesce(F.sum(F.octet_length(F.col("__parent").cast("string"))), F.lit(0))
     rows, width, n_groups = pairs.agg(F.count("*"), width, F.approx_count_distinct("__by")).first()
-    if n_groups <= index.BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
     pool = hash_index(pairs, ["__by", "__parent"], by="__by", seed=seed, scope="key pool", name="__ix")
-    if fits(rows, width):
-        pool = F.broadcast(pool)
 
     rolled, dice = roll(child, key, seed, scope)
-    sized = rolled.join(groups, rolled[child_by] == groups["__by"], "left").drop("__by")
+    if n_groups <= index.BROADCAST_GROUPS:
+        sized = rolled.join(F.broadcast(groups), rolled[child_by] == groups["__by"], "left").drop("__by")
+    else:
+        sized = skew.lookup(rolled, child_by, groups, "__by", "left").drop("__by")
     pick = dice.wide_pick("`__size`", name, "parent")
     orphan = dice.chance(orphan_pct, name, "orphan")
     sized = sized.withColumn(PICK, F.expr(f"CASE WHEN `__size` IS NOT NULL AND NOT {orphan} THEN {pick} END"))
-    joined = sized.join(
-        pool, (F.col(quote(child_by)) == F.col("__by")) & (F.col(PICK) == F.col("__ix")), "left")
+    same = (F.col(quote(child_by)) == F.col("__by")) & (F.col(PICK) == F.col("__ix"))
+    hot = [] if fits(rows, width) else skew.hot_values(child, child_by)
+    if fits(rows, width):
+        joined = sized.join(F.broadcast(pool), same, "left")
+    elif hot:
+        # A hot group with few parents has hot parents: at most a hundred groups times FEW_PARENTS keys.
+        few = pool.filter(F.col("__by").isin(hot) & (F.col("__ix") < FEW_PARENTS))
+        crowded = F.col(quote(child_by)).isin(hot) & (F.col("__size") <= FEW_PARENTS)
+        joined = skew.split_join(sized, pool, same, "left", crowded, few)
+    else:
+        joined = sized.join(pool, same, "left")
     value = F.when(F.col(PICK).isNull(), F.expr(uuid_sql(dice, name))).otherwise(
         F.col("__parent").cast("string"))
     return unroll(joined.withColumn(name, value).drop(PICK, "__ix", "__size", "__by", "__parent"), dice)

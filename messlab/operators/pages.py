@@ -15,6 +15,12 @@ from messlab.operators.index import columns_of, dense_index, refs
 from messlab.operators.shape import KEEP_NULLS
 
 PAGES_PER_BLOCK = 1000
+ROWS_PER_BLOCK = 1_000_000
+
+
+def block_pages(page_size: int) -> int:
+    """Pages per block: a thousand, fewer when pages are so large that a block would pass a million rows."""
+    return max(1, min(PAGES_PER_BLOCK, ROWS_PER_BLOCK // page_size))
 
 
 def paginate(df: DataFrame, order_by: Sequence[str] | str, page_size: int) -> DataFrame:
@@ -29,8 +35,9 @@ def with_pages(indexed: DataFrame, page_size: int) -> DataFrame:
 
 
 def envelopes(paged: DataFrame, api: str, page_size: int, columns: Sequence[str], *,
-              pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+              pages_per_block: int | None = None) -> DataFrame:
     """One row per page: block, api, page, page_size, total_pages, total_records, data."""
+    pages_per_block = pages_per_block or block_pages(page_size)
     record = F.struct(*refs(columns))
     rows = paged.select(
         F.expr(f"(page - 1) div {pages_per_block}L").alias("block"), "page", "total_pages", "total_records",
@@ -54,7 +61,7 @@ def empty_page(like: DataFrame, api: str, page_size: int, columns: Sequence[str]
 
 
 def page_dump(df: DataFrame, order_by: Sequence[str] | str, api: str, page_size: int, *,
-              columns: Sequence[str] | None = None, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+              columns: Sequence[str] | None = None, pages_per_block: int | None = None) -> DataFrame:
     columns = list(columns or df.columns)
     if df.isEmpty():
         return empty_page(df, api, page_size, columns)
@@ -78,8 +85,9 @@ def read_pages(spark: SparkSession, path: str, record: T.StructType) -> DataFram
     return spark.read.schema(page_schema(record)).options(**KEEP_NULLS).json(path)
 
 
-def browse(pages: DataFrame, page: int, *, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+def browse(pages: DataFrame, page: int, page_size: int = 100, *, pages_per_block: int | None = None) -> DataFrame:
     """One page of a written dump; the block filter prunes all other directories."""
+    pages_per_block = pages_per_block or block_pages(page_size)
     return pages.filter((F.col("block") == (page - 1) // pages_per_block) & (F.col("page") == page))
 
 
@@ -90,13 +98,13 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def append_pages(pages: DataFrame, new: DataFrame, order_by: Sequence[str] | str | None = None, *,
-                 pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:
+                 pages_per_block: int | None = None) -> DataFrame:
     """The dump after appending ``new``: full pages keep their rows, only the tail is paged again.
 
     Without ``order_by`` the new rows already hold their positions in ``ix``.
     Every envelope gets the new totals; write the result to a new directory.
     """
-    head = browse(pages, 1, pages_per_block=pages_per_block).select("api", "page_size", "total_records").first()
+    head = pages.filter("block = 0 AND page = 1").select("api", "page_size", "total_records").first()
     api, size, old_total = head["api"], head["page_size"], head["total_records"]
     added = new.count()
     total = old_total + added
@@ -105,7 +113,7 @@ def append_pages(pages: DataFrame, new: DataFrame, order_by: Sequence[str] | str
     columns = [f.name for f in pages.schema["data"].dataType.elementType.fields]
     kept = pages.filter(F.col("page") <= full).withColumns({
         "total_pages": F.lit(total_pages).cast("long"), "total_records": F.lit(total).cast("long")})
-    tail = browse(pages, full + 1, pages_per_block=pages_per_block) if old_total % size else None
+    tail = browse(pages, full + 1, size, pages_per_block=pages_per_block) if old_total % size else None
     indexed = new if order_by is None else dense_index(new, columns_of(order_by))
     shifted = indexed.select((F.col("ix") + old_total).alias("ix"), *refs(columns))
     rows = shifted if tail is None else records(tail).unionByName(shifted)

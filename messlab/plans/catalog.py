@@ -346,7 +346,7 @@ def page_roundtrip(spark, sf):
 @query
 def page_browse(spark, sf):
     """Page 3 of a written dump, found by partition pruning."""
-    return page_rows(pages.browse(written_pages(spark, event_pages(spark, sf), "browse"), 3))
+    return page_rows(pages.browse(written_pages(spark, event_pages(spark, sf), "browse"), 3, PAGE))
 
 
 @query

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from messlab.operators import audit, index, keys, mess
+from messlab.operators import audit, index, keys, mess, skew
 
 N = 20_000
 
@@ -190,5 +190,35 @@ def test_same_day_keys_with_a_hot_day(spark, monkeypatch):
     monkeypatch.setattr(keys, "BROADCAST_BYTES", 1)
     monkeypatch.setattr(index, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(index, "ROWS_PER_WINDOW", 100)
+    for few in (5, 5000):
+        monkeypatch.setattr(skew, "HOT_ROWS", 10)
+        monkeypatch.setattr(keys, "FEW_PARENTS", few)
+        split = keys.fk_sample_within(child, "id", "day", parent, "day", "id", "fk", orphan_pct=0.1)
+        assert split.exceptAll(made).isEmpty() and made.exceptAll(split).isEmpty()
+    monkeypatch.setattr(skew, "HOT_ROWS", 1 << 20)
     again = keys.fk_sample_within(child, "id", "day", parent, "day", "id", "fk", orphan_pct=0.1)
     assert again.exceptAll(made).isEmpty() and made.exceptAll(again).isEmpty()
+
+
+def test_hot_values(spark, monkeypatch):
+    rows = spark.range(30_000).select(F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id END").alias("k"))
+    assert skew.hot_values(rows, "k") == []
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    assert skew.hot_values(rows, "k") == [7]
+    assert skew.hot_values(rows.filter("k < 0"), "k") == []
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_orphans_of_a_hot_key(spark, monkeypatch, known):
+    child = spark.range(30_000).select("id", F.expr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id END").alias("k"))
+    parent = spark.range(20_000).select(F.expr("CASE WHEN id % 2 = 0 THEN 8 ELSE id END").alias("p")).filter(
+        "true" if known else "p <> 7")
+    plain, marked = audit.orphan_rows(child, "k", parent, "p"), audit.mark_orphans(child, "k", parent, "p")
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    split, flagged = audit.orphan_rows(child, "k", parent, "p"), audit.mark_orphans(child, "k", parent, "p")
+    assert split.exceptAll(plain).isEmpty() and plain.exceptAll(split).isEmpty() and split.columns == child.columns
+    assert flagged.exceptAll(marked).isEmpty() and flagged.count() == 30_000
+    counted = audit.orphan_profile(child, "k", parent, "p").first()
+    assert counted["orphans"] == plain.count() == marked.filter("orphan").count()
+    assert counted["null_keys"] == 4000 and plain.filter("k = 7").count() == (0 if known else 10_001)
