@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from messlab.functions.rng import quote, roll, unroll, uuid_sql
+from messlab.functions.rng import Dice, quote, roll, unroll, uuid_sql
 from messlab.operators import index, skew
 from messlab.operators.index import columns_of, hash_index, sample
 from messlab.sources.workspace import scratch
@@ -94,18 +94,26 @@ def fk_sample(child: DataFrame, key: Sequence[str] | str, pool: KeyPool, name: s
     fresh = uuid_sql(dice, name)
     if pool.size == 0:
         return unroll(rolled.withColumn(name, F.expr(fresh)), dice)
-    orphan = dice.chance(orphan_pct, name, "orphan")
     pick = dice.pick(pool.size, name, "parent")
     if orphan_pct > 0:
-        pick = f"CASE WHEN NOT {orphan} THEN {pick} END"
+        pick = f"CASE WHEN {dice.chance(orphan_pct, name, 'orphan')} THEN {nowhere(dice, name)} ELSE {pick} END"
     parents = pool.joinable().select(F.col("ix").alias(PICK), F.col("key").alias("__parent"))
     joined = rolled.withColumn(PICK, F.expr(pick)).join(parents, PICK, "left")
     value = F.col("__parent")
     if orphan_pct > 0:
-        value = F.when(F.col(PICK).isNull(), F.expr(fresh)).otherwise(value.cast("string"))
+        value = F.when(F.col(PICK) < 0, F.expr(fresh)).otherwise(value.cast("string"))
     return unroll(joined.withColumn(name, value).drop(PICK, "__parent"), dice)
 
 
+def nowhere(dice: Dice, name: str) -> str:
+    """A negative position, which no parent has.
+
+    Rows without a parent keep apart in a shuffle this way; nulls would all
+    meet in one task.
+    """
+    return f"(-1L - {dice.draw(name, 'nowhere')})"
+
+
 def fk_sample_within(child: DataFrame, key: Sequence[str] | str, child_by: str, parent: DataFrame,
                      parent_by: str, parent_key: str, name: str, *, orphan_pct: float = 0.0,
                      seed: int = 42, scope: str = "") -> DataFrame:
@@ -115,8 +123,8 @@ def fk_sample_within(child: DataFrame, key: Sequence[str] | str, child_by: str,
     are broadcast only after their size was measured; beyond that the joins
     shuffle, with the rows of hot groups split off.
     """
-    pairs = (parent.select(F.col(quote(parent_by)).alias("__by"), F.col(quote(parent_key)).alias("__parent"))
-             .na.drop().distinct())
+    pairs = stored(parent.select(F.col(quote(parent_by)).alias("__by"), F.col(quote(parent_key)).alias("__parent"))
+                   .na.drop().distinct(), "pairs")
     groups = pairs.groupBy("__by").agg(F.count("*").alias("__size"))
     width = F.coalesce(F.sum(F.octet_length(F.col("__parent").cast("string"))), F.lit(0))
     rows, width, n_groups = pairs.agg(F.count("*"), width, F.approx_count_distinct("__by")).first()
@@ -129,20 +137,20 @@ def fk_sample_within(child: DataFrame, key: Sequence[str] | str, child_by: str,
         sized = skew.lookup(rolled, child_by, groups, "__by", "left").drop("__by")
     pick = dice.wide_pick("`__size`", name, "parent")
     orphan = dice.chance(orphan_pct, name, "orphan")
-    sized = sized.withColumn(PICK, F.expr(f"CASE WHEN `__size` IS NOT NULL AND NOT {orphan} THEN {pick} END"))
+    sized = sized.withColumn(PICK, F.expr(
+        f"CASE WHEN `__size` IS NULL OR {orphan} THEN {nowhere(dice, name)} ELSE {pick} END"))
     same = (F.col(quote(child_by)) == F.col("__by")) & (F.col(PICK) == F.col("__ix"))
     hot = [] if fits(rows, width) else skew.hot_values(child, child_by)
     if fits(rows, width):
         joined = sized.join(F.broadcast(pool), same, "left")
     elif hot:
         # A hot group with few parents has hot parents: at most a hundred groups times FEW_PARENTS keys.
-        few = pool.filter(F.col("__by").isin(hot) & (F.col("__ix") < FEW_PARENTS))
-        crowded = F.col(quote(child_by)).isin(hot) & (F.col("__size") <= FEW_PARENTS)
+        few = pool.filter(skew.is_among("__by", hot) & (F.col("__ix") < FEW_PARENTS))
+        crowded = skew.is_among(child_by, hot) & (F.coalesce(F.col("__size"), F.lit(0)) <= FEW_PARENTS)
         joined = skew.split_join(sized, pool, same, "left", crowded, few)
     else:
         joined = sized.join(pool, same, "left")
-    value = F.when(F.col(PICK).isNull(), F.expr(uuid_sql(dice, name))).otherwise(
-        F.col("__parent").cast("string"))
+    value = F.when(F.col(PICK) < 0, F.expr(uuid_sql(dice, name))).otherwise(F.col("__parent").cast("string"))
     return unroll(joined.withColumn(name, value).drop(PICK, "__ix", "__size", "__by", "__parent"), dice)
 
 

@@ -14,14 +14,20 @@ HOT_ROWS = 1 << 20
 
 
 def hot_values(df: DataFrame, column: str) -> list:
-    """The hot non-null values of a column, at most a hundred, from one sketch aggregate.
+    """The hot values of a column, null included, at most a hundred, from one sketch aggregate.
 
     The list steers the plan only; results are the same for any list.
     """
     top = F.expr(f"approx_top_k({quote(column)}, 100, 10000)")
     found = df.agg(F.count("*").alias("n"), top.alias("top")).first()
     least = max(HOT_SHARE * found["n"], HOT_ROWS)
-    return [t["item"] for t in found["top"] or () if t["item"] is not None and t["count"] >= least]
+    return [t["item"] for t in found["top"] or () if t["count"] >= least]
+
+
+def is_among(column: str, values: Sequence) -> Column:
+    ref = F.col(quote(column))
+    listed = ref.isin([v for v in values if v is not None])
+    return listed | ref.isNull() if None in values else listed
 
 
 def split_join(left: DataFrame, right: DataFrame, on: Column, how: str, is_hot: Column,
@@ -42,4 +48,4 @@ def lookup(left: DataFrame, column: str, right: DataFrame, key: str, how: str,
     hot = hot_values(left, column) if hot is None else list(hot)
     if not hot:
         return left.join(right, on, how)
-    return split_join(left, right, on, how, F.col(quote(column)).isin(hot), right.filter(F.col(quote(key)).isin(hot)))
+    return split_join(left, right, on, how, is_among(column, hot), right.filter(is_among(key, hot)))

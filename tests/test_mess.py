@@ -204,7 +204,7 @@ def test_hot_values(spark, monkeypatch):
     rows = spark.range(30_000).select(F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 5 = 0 THEN NULL ELSE id END").alias("k"))
     assert skew.hot_values(rows, "k") == []
     monkeypatch.setattr(skew, "HOT_ROWS", 100)
-    assert skew.hot_values(rows, "k") == [7]
+    assert skew.hot_values(rows, "k") == [7, None]
     assert skew.hot_values(rows.filter("k < 0"), "k") == []
 
 
@@ -222,3 +222,16 @@ def test_orphans_of_a_hot_key(spark, monkeypatch, known):
     counted = audit.orphan_profile(child, "k", parent, "p").first()
     assert counted["orphans"] == plain.count() == marked.filter("orphan").count()
     assert counted["null_keys"] == 4000 and plain.filter("k = 7").count() == (0 if known else 10_001)
+
+
+def test_rows_without_parent_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(keys, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pool = keys.key_pool(spark.range(500), "id")
+        child = keys.fk_sample(spark.range(N), "id", pool, "fk", orphan_pct=0.7)
+        assert child.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < N / 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
