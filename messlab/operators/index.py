@@ -200,7 +200,7 @@ def split_points(df: DataFrame, order_by: Sequence[str], parts: int) -> list[str
 
 def with_range_bucket(df: DataFrame, order_by: Sequence[str], parts: int | None = None) -> DataFrame:
     """Add the number of the range the row's key falls in, by binary search over literals."""
-    points = split_points(df, order_by, parts or min(2 * parallelism(df), 4096))
+    points = split_points(df, order_by, parts or min(4 * parallelism(df), 8192))
     # An array literal: one constant in the plan, folded before execution.
     bounds = F.from_json(F.lit("[" + ",".join(points[1:]) + "]"),
                          T.ArrayType(_schema(df, order_by)), JSON_FORMATS)

@@ -647,3 +647,30 @@ def spec_days(spark, sf):
     per_day = max(load(spark, sf, "customer").count() // 30, 1)
     builder = Builder.of(spark, samples.parent_child(1, 1), rows=per_day, days=("2024-01-01", "2024-01-30"))
     return plain(builder.table(builder.entity("children"), keep_day=True).withColumnRenamed("__day", "day"))
+
+
+@query
+def spec_increment(spark, sf):
+    """A second batch as large as the customer table, numbered on after as many rows as there are orders."""
+    first, more = load(spark, sf, "orders").count(), load(spark, sf, "customer").count()
+    builder = Builder.of(spark, samples.parent_child(1, 1), rows=more, offset=first)
+    return plain(builder.tables()["children"])
+
+
+def shipment_builder(spark, sf) -> Builder:
+    n = load(spark, sf, "events").count()
+    return Builder.of(spark, samples.shipments(20, max(n // 20, 1), n))
+
+
+@query
+def spec_files(spark, sf):
+    """A file source of twenty weekly files as large as the events together."""
+    builder = shipment_builder(spark, sf)
+    return plain(builder.file_source(builder.spec["files"][0]).drop("__row"))
+
+
+@query
+def spec_api(spark, sf):
+    """Records of a page dump with deletion flags and stale times, one per event."""
+    builder = shipment_builder(spark, sf)
+    return plain(builder.api_records(builder.spec["apis"][0]).withColumnRenamed("__row", "row"))

@@ -594,22 +594,27 @@ CHILD = Draw("children", "row")
 KEY_RANGE = 4_000_000_000
 
 
-def coprime(name: str, size: str) -> str:
-    """Factor and shift of the permutation of ``size`` positions, as a scalar subquery pair."""
-    first, second = salt_words(42, "children|0", name, "permutation")
-    start = f"(1 + {first} % greatest(1, least(2147483647, {2 ** 61} // {size})))"
+def coprime(name: str, size: str, scope: str) -> str:
+    """Factor and shift of a permutation of ``size`` positions; the scope is a SQL text."""
+    digest = f"md5('42|' || {scope} || '|{name}|permutation')"
+    start = f"(1 + ('0x' || substr({digest}, 1, 8))::BIGINT % greatest(1, least(2147483647, {2 ** 61} // {size})))"
     factor = f"(SELECT min({start} + i) FROM range(1000) t(i) WHERE gcd({start} + i, {size}) = 1)"
-    return f"{factor} % {size} AS f, {second} % {size} AS s"
+    return f"{factor} % {size} AS f, ('0x' || substr({digest}, 9, 8))::BIGINT % {size} AS s"
 
 
-def spec_children(rows: str, chunk: str) -> str:
-    """row, src (the row whose key it takes) and the generated cells of ``children``."""
+def with_source(rows: str, chunk: str, pct: float, name: str, offset: str = "0") -> str:
+    """row, and src, the row whose key it takes, for ``rows`` rows from ``offset`` on."""
+    scope = f"'{name}|' || {offset}"
     return f"""
-SELECT *, CASE WHEN rank < greatest(1, floor({chunk} * 0.02::DOUBLE)::BIGINT)
-  THEN row - row % {chunk} + (q.f * rank + q.s) % {chunk} ELSE row END AS src
-FROM (SELECT row, (p.f * (row % {chunk}) + p.s) % {chunk} AS rank
-      FROM (SELECT range AS row FROM range({rows})), (SELECT {coprime('duplicate targets', chunk)}) p),
-     (SELECT {coprime('duplicate sources', chunk)}) q"""
+SELECT {offset} + place AS row, {offset} + CASE WHEN rank < greatest(1, floor({chunk} * {pct}::DOUBLE)::BIGINT)
+  THEN place - place % {chunk} + (q.f * rank + q.s) % {chunk} ELSE place END AS src
+FROM (SELECT range AS place, (p.f * (range % {chunk}) + p.s) % {chunk} AS rank
+      FROM range({rows}), (SELECT {coprime('duplicate targets', chunk, scope)}) p),
+     (SELECT {coprime('duplicate sources', chunk, scope)}) q"""
+
+
+def spec_children(rows: str, chunk: str, offset: str = "0") -> str:
+    return with_source(rows, chunk, 0.02, "children", offset)
 
 
 def child_cells(start: str, span: str) -> str:
@@ -625,12 +630,20 @@ def child_cells(start: str, span: str) -> str:
 
 N_ORDERS, N_CUSTOMERS = "(SELECT count(*) FROM orders)", "(SELECT count(*) FROM customer)"
 PARENT_ID = f"1 + {permutation('parents', 'id', KEY_RANGE, 'range')}"
-ORACLES["spec_tables"] = f"""
-WITH pool AS ({pool(f"SELECT {PARENT_ID} AS key FROM range({N_CUSTOMERS})", "500000")}),
+
+
+def spec_table(parents: str, children: str, offset: str) -> str:
+    return f"""
+WITH pool AS ({pool(f"SELECT {PARENT_ID} AS key FROM range({offset}, {offset} + {parents})", "500000")}),
 child AS (SELECT row, src, {CHILD.hit(0.05, 'parent_id', 'orphan')} AS lost, {CHILD.uuid('parent_id')} AS fresh,
-  {CHILD.pick('(SELECT count(*) FROM pool)', 'parent_id', 'parent')} AS pick FROM ({spec_children(N_ORDERS, N_ORDERS)}))
+  {CHILD.pick('(SELECT count(*) FROM pool)', 'parent_id', 'parent')} AS pick
+  FROM ({spec_children(children, children, offset)}))
 SELECT {child_cells("epoch(TIMESTAMP '2024-01-01')::BIGINT", str(365 * 86400))},
   CASE WHEN lost THEN fresh ELSE key::VARCHAR END AS parent_id FROM child JOIN pool ON pick = ix"""
+
+
+ORACLES["spec_tables"] = spec_table(N_CUSTOMERS, N_ORDERS, "0")
+ORACLES["spec_increment"] = spec_table(N_CUSTOMERS, N_CUSTOMERS, N_ORDERS)
 SPEC_DAY = f"greatest({N_CUSTOMERS} // 30, 1)"
 ORACLES["spec_days"] = same_day(
     f"SELECT *, DATE '2024-01-01' + (row // {SPEC_DAY})::INT AS day FROM ({spec_children(f'(30 * {SPEC_DAY})', SPEC_DAY)})",
@@ -638,6 +651,28 @@ ORACLES["spec_days"] = same_day(
     f"SELECT DATE '2024-01-01' + (range // {SPEC_DAY})::INT AS by_day, {PARENT_ID} AS parent FROM range(30 * {SPEC_DAY})",
     f"day::VARCHAR AS day, {child_cells('epoch(day)::BIGINT', '86400')}")
 
+PER_FILE = f"greatest({N_EVENTS} // 20, 1)"
+SHIP = Draw("ship", "row")
+ORACLES["spec_files"] = f"""
+SELECT file_no, file_date::VARCHAR AS file_date, {permutation('ship', 'tracking', KEY_RANGE, 'src')} AS tracking,
+  {stamp(f"make_timestamp((epoch(file_date)::BIGINT + {SHIP.pick(86400, 'at')}) * 1000000)")} AS at,
+  {nulled(SHIP, 'quantity', 0.1, f"1 + {SHIP.pick(9, 'quantity')}")} AS quantity,
+  {SHIP.word(['air', 'road', 'sea'], 'mode')} AS mode
+FROM (SELECT row, src, row // {PER_FILE} AS file_no, DATE '2024-01-01' + (7 * (row // {PER_FILE}))::INT AS file_date
+      FROM ({with_source(f'(20 * {PER_FILE})', PER_FILE, 0.02, 'ship')}))"""
+COURIER, CODE = Draw("courier", "row"), Draw("courier", "s_code")
+WEIGHT = COURIER.pick(1001, "weight")
+AT = f"make_timestamp((epoch(TIMESTAMP '2024-01-01')::BIGINT + {COURIER.pick(365 * 86400, 'at')}) * 1000000)"
+BACK = f"to_hours((1 + {COURIER.pick(71, 'at', 'stale hours')})::INT)"
+ORACLES["spec_api"] = f"""
+SELECT row, '1Z' || {' || '.join(letters(CODE, 'code', i, ANY) for i in range(4))} AS code,
+  CASE WHEN {COURIER.hit(0.02, 'weight', 'negative')} THEN -abs({WEIGHT}) ELSE {WEIGHT} END AS weight,
+  {stamp(f"CASE WHEN {COURIER.hit(0.05, 'at', 'stale')} THEN {AT} - {BACK} ELSE {AT} END")} AS at,
+  {COURIER.hit(0.05, 'soft delete')} AS is_deleted
+FROM (SELECT row, row // 100 * 5000
+        + {COURIER.pick("least(5000, least(100, n - row // 100 * 100) + 1)", 'code', 'slot')} AS s_code
+      FROM (SELECT range AS row, {N_EVENTS} AS n FROM range({N_EVENTS})))"""
+
 # ------------------------------------------------------------------ streams
 
 ORACLES["stream_daily_append"] = """

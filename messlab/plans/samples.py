@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 WINDOW = ("2023-01-01", "2024-01-01")
 
 KEY_COLUMNS = [
@@ -75,5 +73,20 @@ def parent_child(parents: int, children: int) -> dict:
     }
 
 
-def day_after(day: str, days: int) -> str:
-    return (date.fromisoformat(day) + timedelta(days)).isoformat()
+def shipments(files: int, rows_per_file: int, records: int) -> dict:
+    return {
+        "temporal": {"start_date": "2024-01-01", "end_date": "2024-12-31"},
+        "global_messiness": {"null_pct": 0.1}, "database": {"entities": []},
+        "file_sources": [{
+            "name": "ship", "output_format": "csv", "num_files": files, "rows_per_file": rows_per_file,
+            "frequency": "weekly", "messiness": {"dup_pk_pct": 0.02}, "columns": [
+                {"name": "tracking", "type": "integer", "primary_key": True, "min": 0, "max": 3_999_999_999},
+                {"name": "at", "type": "timestamp"},
+                {"name": "quantity", "type": "integer", "min": 1, "max": 9, "nullable": True},
+                {"name": "mode", "type": "choice", "choices": ["air", "road", "sea"]}]}],
+        "api_dumps": [{
+            "name": "courier", "total_records": records, "page_size": 100,
+            "messiness": {"soft_delete_pct": 0.05, "stale_watermark_pct": 0.05, "negative_numeric_pct": 0.02},
+            "columns": [{"name": "code", "type": "string", "pattern": "1Z****"},
+                        {"name": "weight", "type": "integer"}, {"name": "at", "type": "timestamp"}]}],
+    }
