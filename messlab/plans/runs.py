@@ -163,7 +163,8 @@ def _write_api(builder: Builder, api: Spec, out: str, number: int) -> Spec:
     else:
         old = pages.read_pages(builder.spark, f"{root}/version={number - 1}", schema)
         dump = pages.append_pages(old, indexed)
-    pages.write_pages(dump, path)
+    # A version belongs to one run, so a repeated run replaces what a failed one left.
+    pages.write_pages(dump, path, mode="overwrite")
     written = pages.read_pages(builder.spark, path, schema)
     found = files.page_manifest(written, api["name"]).first()
     return {"kind": "api", "name": api["name"], "format": "json", "path": path, "target_rows": made, "rows": made,
