@@ -10,6 +10,7 @@ from messlab.functions.columns import Window, generate
 from messlab.operators import audit, batches, index, keys, mess, pages, shape
 from messlab.plans import samples
 from messlab.plans.build import Builder
+from messlab.plans.conformance import check
 from messlab.sources import files, tables
 from messlab.sources.workspace import scratch
 from messlab.streaming import delivery, late
@@ -249,11 +250,22 @@ def schema_version_audit(spark, sf):
         after.select("column", F.col("early").alias("early_after")), "column")
 
 
+def dirty_orders(spark, sf) -> DataFrame:
+    return mess.apply(load(spark, sf, "orders"), "o_orderkey", samples.ORDER_SPEC, samples.ORDER_RATES,
+                      pk="o_orderkey", versions=samples.VERSIONS, scope="mess")
+
+
 @query
 def all_faults_in_order(spark, sf):
     """Nulls, repeated keys, negatives, impossible dates and version gating on one table."""
-    return plain(mess.apply(load(spark, sf, "orders"), "o_orderkey", samples.ORDER_SPEC, samples.ORDER_RATES,
-                            pk="o_orderkey", versions=samples.VERSIONS, scope="mess"))
+    return plain(dirty_orders(spark, sf))
+
+
+@query
+def conformance(spark, sf):
+    """The faulty orders against a specification: violations per rule and column."""
+    return check(dirty_orders(spark, sf), samples.CHECK_SPEC, window=("1996-01-01", "2000-12-31"),
+                 parents={"customer": load(spark, sf, "customer")})
 
 
 def late_events(spark, sf) -> DataFrame:

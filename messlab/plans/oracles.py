@@ -371,11 +371,26 @@ def all_faults() -> str:
                          for c in ("o_custkey", "o_totalprice"))
     dates = f"{misdated(d, 'o_orderdate', 0.05, 'o_orderdate', 'TIMESTAMP')} AS o_orderdate"
     return f"""WITH nulled AS ({nulls}), twice AS ({twice}),
-dated AS (SELECT * REPLACE ({negative}, {dates}) FROM twice), gated AS ({GATED} FROM dated)
-SELECT * EXCLUDE (id) REPLACE ({stamp('o_orderdate')} AS o_orderdate) FROM gated"""
+dated AS (SELECT * REPLACE ({negative}, {dates}) FROM twice), gated AS ({GATED} FROM dated)"""
 
 
-ORACLES["all_faults_in_order"] = all_faults()
+ORACLES["all_faults_in_order"] = f"""{all_faults()}
+SELECT * EXCLUDE (id) REPLACE ({stamp('o_orderdate')} AS o_orderdate) FROM gated"""
+RULES = {
+    ("not null", "o_orderkey"): "o_orderkey IS NULL", ("not null", "o_custkey"): "o_custkey IS NULL",
+    ("range", "o_totalprice"): "o_totalprice < 1000 OR o_totalprice > 400000",
+    ("choices", "o_orderstatus"): "o_orderstatus NOT IN ('F', 'O')",
+    ("not null", "o_orderdate"): "o_orderdate IS NULL",
+    ("window", "o_orderdate"): "o_orderdate < TIMESTAMP '1996-01-01' OR o_orderdate > TIMESTAMP '2000-12-31'",
+    ("pattern", "o_orderpriority"): "NOT regexp_full_match(o_orderpriority, '[0-9]-[A-Z]{6}')",
+    ("missing column", "o_clerk"): "true",
+    ("foreign key", "o_custkey"): "o_custkey NOT IN (SELECT c_custkey FROM customer)",
+}
+ORACLES["conformance"] = all_faults() + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{rule}' AS rule, '{c}' AS \"column\", count(*) AS rows, count(*) FILTER (WHERE {condition}) AS violations "
+    "FROM gated" for (rule, c), condition in RULES.items()) + """
+UNION ALL SELECT 'unique key', 'o_orderkey', count(*), count(*) - count(DISTINCT o_orderkey) FROM gated
+UNION ALL SELECT 'row count', '', count(*), abs(count(*) - 10000) FROM gated"""
 
 LATE = f"""SELECT event_id, event_type, least(greatest(CASE WHEN {EVENTS.hit(0.1, 'ts', 'late')} THEN ts
   - to_seconds({EVENTS.pick(864000, 'ts', 'late by')}) ELSE ts END, TIMESTAMP '2024-01-01'), TIMESTAMP '2024-01-31')

@@ -23,24 +23,29 @@ SUMMARY = ("run int, run_timestamp string, schema_version string, kind string, n
            "execution_seconds double")
 
 
-def run(spark: SparkSession, raw: Mapping, out: str, *, seed: int = 42, database: str | None = None) -> DataFrame:
-    """First run: all tables, files and page dumps.  Returns the summary of this run."""
-    return _write(Builder.of(spark, raw, seed=seed), out, 0, database)
+def run(spark: SparkSession, raw: Mapping, out: str, *, seed: int = 42, database: str | None = None,
+        jdbc: Mapping[str, str] | None = None) -> DataFrame:
+    """First run: all tables, files and page dumps.  Returns the summary of this run.
+
+    ``database`` registers the tables in the catalog; ``jdbc`` (url, user, ...)
+    also appends them to an external database.
+    """
+    return _write(Builder.of(spark, raw, seed=seed), out, 0, database, jdbc)
 
 
 def run_increment(spark: SparkSession, raw: Mapping, out: str, rows: int, *, seed: int = 42,
-                  database: str | None = None) -> DataFrame:
+                  database: str | None = None, jdbc: Mapping[str, str] | None = None) -> DataFrame:
     """Append ``rows`` rows to every output; foreign keys see this batch's parents only."""
     number, offset = _progress(spark, out)
-    return _write(Builder.of(spark, raw, seed=seed, rows=rows, offset=offset), out, number, database)
+    return _write(Builder.of(spark, raw, seed=seed, rows=rows, offset=offset), out, number, database, jdbc)
 
 
 def run_days(spark: SparkSession, raw: Mapping, out: str, start: str, end: str, rows_per_day: int, *,
-             seed: int = 42, database: str | None = None) -> DataFrame:
+             seed: int = 42, database: str | None = None, jdbc: Mapping[str, str] | None = None) -> DataFrame:
     """Append ``rows_per_day`` rows per output for each day of [start, end], all days in one job."""
     number, offset = _progress(spark, out)
     builder = Builder.of(spark, raw, seed=seed, rows=max(rows_per_day, 1), days=(start, end), offset=offset)
-    return _write(builder, out, number, database)
+    return _write(builder, out, number, database, jdbc)
 
 
 def summary(spark: SparkSession, out: str) -> DataFrame:
@@ -62,12 +67,13 @@ def _progress(spark: SparkSession, out: str) -> tuple[int, int]:
     return row["run"] + 1, row["next"]
 
 
-def _write(builder: Builder, out: str, number: int, database: str | None) -> DataFrame:
+def _write(builder: Builder, out: str, number: int, database: str | None,
+           jdbc: Mapping[str, str] | None) -> DataFrame:
     started = time.time()
     spark, spec = builder.spark, builder.spec
     lines = []
     for entity in _parents_first(spec["tables"]):
-        lines.append(_write_table(builder, entity, out, database))
+        lines.append(_write_table(builder, entity, out, database, jdbc))
     for source in spec["files"]:
         lines.append(_write_file_source(builder, source, out))
     for api in spec["apis"]:
@@ -100,7 +106,8 @@ def _parents_first(entities: list[Spec]) -> list[Spec]:
     return order
 
 
-def _write_table(builder: Builder, entity: Spec, out: str, database: str | None) -> Spec:
+def _write_table(builder: Builder, entity: Spec, out: str, database: str | None,
+                 jdbc: Mapping[str, str] | None) -> Spec:
     name, path = entity["name"], f"{out}/tables/{entity['name']}"
     first = builder.offset == 0 and not builder.days
     seen = Observation(f"rows of {name}")
@@ -109,6 +116,9 @@ def _write_table(builder: Builder, entity: Spec, out: str, database: str | None)
         tables.save_table(frame, f"{database}.{name}", path=path)
     else:
         frame.write.mode("append").parquet(path)
+    if jdbc:
+        properties = {k: v for k, v in jdbc.items() if k != "url"}
+        tables.save_jdbc(builder.table(entity), jdbc["url"], name, properties=properties)
     stored = builder.spark.read.parquet(path)
     if first and primary_key(entity):
         builder.parents[name] = stored

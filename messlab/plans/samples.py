@@ -48,6 +48,15 @@ ORDER_SPEC = [
     {"name": "o_orderpriority", "type": "string"},
 ]
 ORDER_RATES = {"null_pct": 0.1, "dup_pk_pct": 0.03, "negative_numeric_pct": 0.04, "impossible_date_pct": 0.05}
+CHECK_SPEC = {
+    "name": "orders", "row_count": 10_000, "schema_versions": VERSIONS, "columns": [
+        {"name": "o_orderkey", "type": "integer", "primary_key": True},
+        {"name": "o_custkey", "type": "foreign_key", "ref": "customer.c_custkey"},
+        {"name": "o_orderstatus", "type": "choice", "choices": ["F", "O"]},
+        {"name": "o_totalprice", "type": "float", "min": 1000, "max": 400_000, "nullable": True},
+        {"name": "o_orderdate", "type": "timestamp", "temporal": True},
+        {"name": "o_orderpriority", "type": "string", "pattern": "#-??????"},
+        {"name": "o_clerk", "type": "name"}]}
 RECORD_TYPES = {"event_id": "number", "event_type": "string", "user_id": "string", "cents": "number",
                 "props": "string", "details": "object", "absent": "string"}
 

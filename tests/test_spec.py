@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from messlab.operators import audit, pages
 from messlab.plans import runs
 from messlab.plans.build import Builder
+from messlab.plans.conformance import check, fill_regex
 from messlab.plans.spec import faults, fill_pattern, normalise, rates, share
 
 
@@ -175,3 +176,23 @@ def test_dump_keeps_old_pages_and_its_faults(spark, finished):
     assert first.exceptAll(last).isEmpty() and last.count() == 380
     assert 5 <= last.filter("is_deleted").count() <= 40
     assert last.select("n").distinct().count() == 380
+
+
+def test_clean_tables_conform_and_faults_show(spark):
+    spec = normalise(UNIFIED)
+    kids = {**spec["tables"][0], "messiness": {}}
+    clean = Builder.of(spark, {**UNIFIED, "entities": [
+        {**e, "messiness": {}, "schema_versions": []} for e in UNIFIED["entities"][:2]]}).tables()
+    window = ("2024-01-01", "2024-03-31")
+    parents = {"parents": clean["parents"]}
+    found = check(clean["kids"], kids, window=window, parents=parents)
+    assert found.filter("violations > 0").isEmpty() and found.count() >= 12
+    dirty = Builder.of(spark, UNIFIED).tables()["kids"].drop("status").withColumn("more", F.lit(1))
+    bad = {(r["rule"], r["column"]) for r in check(dirty, kids, window=window, parents=parents).filter(
+        "violations > 0").collect()}
+    assert {("unique key", "id"), ("foreign key", "parent_id"), ("range", "amount"), ("window", "shipped"),
+            ("window", "created_at"), ("missing column", "status"), ("extra column", "more")} <= bad
+
+
+def test_fill_patterns_as_regular_expressions():
+    assert fill_regex("WH-??-###.x") == r"^WH\-[A-Z][A-Z]\-[0-9][0-9][0-9]\.x$"
