@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from messlab.functions.rng import quote, roll, unroll
 
 HASH, BUCKET, OFFSET, TOTAL = "__hash", "__bucket", "__offset", "__total"
-# What one task sorts without trouble, and how many group sizes are sent to every executor.
+# What one task sorts without trouble, and what is sent to every executor.
 ROWS_PER_WINDOW = 1 << 20
-BROADCAST_GROUPS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 JSON_FORMATS = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -38,6 +38,17 @@ def refs(names: Sequence[str]) -> list[Column]:
     return [F.col(quote(n)) for n in names]
 
 
+def key_width(names: Sequence[str]) -> Column:
+    """Bytes of the columns as text, an upper bound of their width for the usual types."""
+    widths = [F.coalesce(F.octet_length(F.col(quote(n)).cast("string")), F.lit(0)) for n in names]
+    return sum(widths[1:], widths[0]).cast("long")
+
+
+def fits(rows: int, width: int) -> bool:
+    """Small enough to broadcast: key bytes plus 40 bytes a row for the hash table."""
+    return width + 40 * rows <= BROADCAST_BYTES
+
+
 def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -98,43 +109,45 @@ def _group_index(df: DataFrame, key: Sequence[str], by: Sequence[str], seed: int
     """Positions within groups; a group larger than a window's share is cut into hash buckets.
 
     Group sizes decide how many: a group of n rows gets the power of two that
-    leaves about ROWS_PER_WINDOW rows a bucket, so small groups cost no extra
-    rows and one group with a third of the table is ranked by many tasks.
+    leaves about ROWS_PER_WINDOW rows a bucket, so one group with a third of
+    the table is ranked by many tasks and small groups cost nothing extra.
     """
     hashed = with_hash(df, key, seed, scope, 0)
     order = [F.col(HASH), *refs(key)]
-    sizes = df.groupBy(*refs(by)).agg(F.count("*").alias(TOTAL))
-    groups, biggest = sizes.agg(F.count("*"), F.coalesce(F.max(TOTAL), F.lit(0))).first()
-    if biggest <= ROWS_PER_WINDOW:
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col(TOTAL) / ROWS_PER_WINDOW))).cast("int")
+    sizes = df.groupBy(*refs(by)).agg(F.count("*").alias(TOTAL)).withColumn("__bits", bits)
+    large = sizes.filter("__bits > 0")
+    buckets = F.expr("shiftleft(1L, __bits)")
+    parts, width = large.agg(F.coalesce(F.sum(buckets), F.lit(0)),
+                             F.coalesce(F.sum(buckets * key_width(by)), F.lit(0))).first()
+    if not parts:
         group = Window.partitionBy(*refs(by))
         placed = hashed.withColumn(name, F.row_number().over(group.orderBy(*order)).cast("long") - 1)
         if total:
             placed = placed.withColumn(total, F.count("*").over(group))
         return placed.drop(HASH, BUCKET)
-    sized = _match(hashed, sizes, by, broadcast=groups <= BROADCAST_GROUPS)
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col(TOTAL) / ROWS_PER_WINDOW))).cast("int")
-    bucketed = sized.withColumn("__bits", bits).withColumn(
-        BUCKET, F.expr(f"CAST(shiftright({HASH}, 32 - __bits) AS INT)"))
+    # Large groups are few, one per ROWS_PER_WINDOW rows of the table at most; the rest keep one bucket.
+    small = fits(parts, width)
+    sized = _match(hashed, large, by, broadcast=small)
+    bucketed = sized.withColumn(BUCKET, F.expr(f"CAST(shiftright({HASH}, 32 - coalesce(__bits, 0)) AS INT)"))
     counts = bucketed.filter("__bits > 0").groupBy(*refs(by), BUCKET).count()
-    starts = _offsets(counts, by).drop(TOTAL)
-    # About one start per ROWS_PER_WINDOW rows of the table.
-    joined = _match(bucketed, starts, [*by, BUCKET], how="left")
-    rank = F.row_number().over(Window.partitionBy(*refs(by), BUCKET).orderBy(*order))
-    placed = joined.withColumn(name, rank + F.coalesce(F.col(OFFSET), F.lit(0)) - 1)
+    joined = _match(bucketed, _offsets(counts, by).drop(TOTAL), [*by, BUCKET], broadcast=small)
+    bucket = Window.partitionBy(*refs(by), BUCKET)
+    placed = joined.withColumn(
+        name, F.row_number().over(bucket.orderBy(*order)) + F.coalesce(F.col(OFFSET), F.lit(0)) - 1)
     if total:
-        placed = placed.withColumn(total, F.col(TOTAL))
+        placed = placed.withColumn(total, F.coalesce(F.col(TOTAL), F.count("*").over(bucket)))
     return placed.drop(BUCKET, OFFSET, TOTAL, HASH, "__bits")
 
 
-def _match(df: DataFrame, side: DataFrame, on: Sequence[str], *, broadcast: bool = False,
-           how: str = "inner") -> DataFrame:
-    """Join on columns that may be null; null matches null."""
+def _match(df: DataFrame, side: DataFrame, on: Sequence[str], *, broadcast: bool) -> DataFrame:
+    """Left join on columns that may be null; null matches null."""
     marks = {c: f"__on_{i}" for i, c in enumerate(on)}
     right = side.withColumnsRenamed(marks)
     match = F.lit(True)
     for c, mark in marks.items():
         match &= F.col(quote(c)).eqNullSafe(F.col(mark))
-    return df.join(F.broadcast(right) if broadcast else right, match, how).drop(*marks.values())
+    return df.join(F.broadcast(right) if broadcast else right, match, "left").drop(*marks.values())
 
 
 def sample_condition(df: DataFrame, key: Sequence[str] | str, k: int | None = None, *,

@@ -8,12 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from messlab.functions.rng import Dice, quote, roll, unroll, uuid_sql
-from messlab.operators import index, skew
-from messlab.operators.index import columns_of, hash_index, sample
+from messlab.operators import skew
+from messlab.operators.index import columns_of, fits, hash_index, key_width, sample
 from messlab.sources.workspace import scratch
 
 POOL_CAP = 500_000
-BROADCAST_BYTES = 64 << 20
 FEW_PARENTS = 1000
 
 PICK = "__pick"
@@ -21,20 +20,21 @@ PICK = "__pick"
 
 @dataclass(frozen=True)
 class KeyPool:
-    """``frame`` holds (ix, key) with ix dense from 0; ``bytes`` is the width of all keys."""
+    """``frame`` holds (ix, key) with ix dense from 0; ``small`` if it may be broadcast."""
 
     frame: DataFrame
     size: int
-    bytes: int
+    small: bool
     key_type: T.DataType
 
     def joinable(self) -> DataFrame:
-        return F.broadcast(self.frame) if fits(self.size, self.bytes) else self.frame
+        return F.broadcast(self.frame) if self.small else self.frame
 
 
-def fits(rows: int, width: int) -> bool:
-    """Small enough to broadcast: key bytes plus 40 bytes a row for the hash table."""
-    return width + 40 * rows <= BROADCAST_BYTES
+def measured(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether the rows, counted and weighed by these columns, may be broadcast."""
+    rows, width = df.agg(F.count("*"), F.coalesce(F.sum(key_width(columns)), F.lit(0))).first()
+    return fits(rows, width)
 
 
 def candidate_keys(df: DataFrame, pk: str, cap: int | None, seed: int) -> DataFrame:
@@ -79,8 +79,7 @@ def key_pool(df: DataFrame, pk: str, cap: int | None = POOL_CAP, *, seed: int =
         size = cap
     indexed = hash_index(keys, "key", seed=seed, scope="key pool", rows=size)
     pool = stored(indexed.select("ix", "key"), "pool")
-    width = pool.agg(F.coalesce(F.sum(F.octet_length(F.col("key").cast("string"))), F.lit(0))).first()[0]
-    return KeyPool(pool, size, width, df.schema[pk].dataType)
+    return KeyPool(pool, size, measured(pool, ["key"]), df.schema[pk].dataType)
 
 
 def fk_sample(child: DataFrame, key: Sequence[str] | str, pool: KeyPool, name: str, *,
@@ -126,12 +125,11 @@ def fk_sample_within(child: DataFrame, key: Sequence[str] | str, child_by: str,
     pairs = stored(parent.select(F.col(quote(parent_by)).alias("__by"), F.col(quote(parent_key)).alias("__parent"))
                    .na.drop().distinct(), "pairs")
     groups = pairs.groupBy("__by").agg(F.count("*").alias("__size"))
-    width = F.coalesce(F.sum(F.octet_length(F.col("__parent").cast("string"))), F.lit(0))
-    rows, width, n_groups = pairs.agg(F.count("*"), width, F.approx_count_distinct("__by")).first()
+    small_groups, small_pool = measured(groups, ["__by"]), measured(pairs, ["__by", "__parent"])
     pool = hash_index(pairs, ["__by", "__parent"], by="__by", seed=seed, scope="key pool", name="__ix")
 
     rolled, dice = roll(child, key, seed, scope)
-    if n_groups <= index.BROADCAST_GROUPS:
+    if small_groups:
         sized = rolled.join(F.broadcast(groups), rolled[child_by] == groups["__by"], "left").drop("__by")
     else:
         sized = skew.lookup(rolled, child_by, groups, "__by", "left").drop("__by")
@@ -140,8 +138,8 @@ def fk_sample_within(child: DataFrame, key: Sequence[str] | str, child_by: str,
     sized = sized.withColumn(PICK, F.expr(
         f"CASE WHEN `__size` IS NULL OR {orphan} THEN {nowhere(dice, name)} ELSE {pick} END"))
     same = (F.col(quote(child_by)) == F.col("__by")) & (F.col(PICK) == F.col("__ix"))
-    hot = [] if fits(rows, width) else skew.hot_values(child, child_by)
-    if fits(rows, width):
+    hot = [] if small_pool else skew.hot_values(child, child_by)
+    if small_pool:
         joined = sized.join(F.broadcast(pool), same, "left")
     elif hot:
         # A hot group with few parents has hot parents: at most a hundred groups times FEW_PARENTS keys.

@@ -33,10 +33,11 @@ def test_a_hot_leading_value_is_split(hot):
     assert biggest < 9000 / 10
 
 
-@pytest.mark.parametrize("window", [1 << 20, 1000, 10])
-def test_positions_within_groups(hot, monkeypatch, window):
+@pytest.mark.parametrize("window, broadcast", [(1 << 20, 1 << 20), (1000, 1 << 20), (10, 1 << 20), (10, 0)])
+def test_positions_within_groups(hot, monkeypatch, window, broadcast):
     """Groups of any size, also the null group and one with a third of the rows."""
     monkeypatch.setattr(index, "ROWS_PER_WINDOW", window)
+    monkeypatch.setattr(index, "BROADCAST_BYTES", broadcast)
     ranked = index.hash_index(hot, "id", by="lead", total="n").toPandas()
     assert len(ranked) == 9000
     for _, part in ranked.groupby("lead", dropna=False):

@@ -172,7 +172,8 @@ def test_foreign_key_types_and_empty_parent(spark):
 def test_large_pools_are_joined_without_broadcast(base, spark, monkeypatch):
     pool = keys.key_pool(base, "code", None)
     wide = keys.fk_sample(spark.range(N), "id", pool, "fk", orphan_pct=0.1)
-    monkeypatch.setattr(keys, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(index, "BROADCAST_BYTES", 1000)
+    pool = keys.key_pool(base, "code", None)
     shuffled = keys.fk_sample(spark.range(N), "id", pool, "fk", orphan_pct=0.1)
     assert wide.exceptAll(shuffled).isEmpty() and shuffled.count() == N
 
@@ -187,8 +188,7 @@ def test_same_day_keys_with_a_hot_day(spark, monkeypatch):
     assert held.filter("day <> its_day").isEmpty()
     known = child.join(parent, "day", "left_semi").count()
     assert within(held.count(), 0.9, known)
-    monkeypatch.setattr(keys, "BROADCAST_BYTES", 1)
-    monkeypatch.setattr(index, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(index, "BROADCAST_BYTES", 1)
     monkeypatch.setattr(index, "ROWS_PER_WINDOW", 100)
     for few in (5, 5000):
         monkeypatch.setattr(skew, "HOT_ROWS", 10)
@@ -225,7 +225,7 @@ def test_orphans_of_a_hot_key(spark, monkeypatch, known):
 
 
 def test_rows_without_parent_do_not_meet_in_one_task(spark, monkeypatch):
-    monkeypatch.setattr(keys, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(index, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
