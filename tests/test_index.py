@@ -27,6 +27,16 @@ def test_dense_index_is_the_sorted_position(hot, order):
     assert set(found["n"]) == {9000}
 
 
+@pytest.mark.parametrize("order", [["lead", "id"], ["text"]])
+def test_sampled_split_points_give_the_same_positions(hot, monkeypatch, order):
+    exact = index.dense_index(hot, order).select("id", "ix")
+    monkeypatch.setattr(index, "KEYS_PER_RANGE", 4)
+    sampled = index.dense_index(hot, order).select("id", "ix")
+    assert sampled.exceptAll(exact).isEmpty()
+    top = index.running_max(hot, "value", "id", "top").agg(F.max("top")).first()[0]
+    assert top == hot.agg(F.max("value")).first()[0]
+
+
 def test_a_hot_leading_value_is_split(hot):
     buckets = index.with_range_bucket(hot, ["lead", "id"], 24)
     biggest = buckets.groupBy(index.BUCKET).count().agg(F.max("count")).first()[0]
