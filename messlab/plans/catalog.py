@@ -37,7 +37,9 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, T.DateType):
             return F.col(f.name).cast("string").alias(f.name)
         if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-            return F.date_format(f.name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(f.name)
+            # Padded to microseconds; a cast reads zone-free times as they are.
+            return F.expr(f"substr(concat(rpad(`{f.name}`, 20, '.'), substr(`{f.name}`, 21), '000000'), 1, 26)").alias(
+                f.name)
         return F.col(f.name)
     return df.select(*[cell(f) for f in df.schema.fields])
 
