@@ -24,7 +24,8 @@ HASH, BUCKET, OFFSET, TOTAL = "__hash", "__bucket", "__offset", "__total"
 # What one task sorts without trouble, and what is sent to every executor.
 ROWS_PER_WINDOW = 1 << 20
 BROADCAST_BYTES = 64 << 20
-# Sampled keys per range when a table is cut into ranges of like size.
+# Rows a range has at least, and keys sampled per range, when a table is cut into ranges of like size.
+ROWS_PER_RANGE = 10_000
 KEYS_PER_RANGE = 500
 JSON_FORMATS = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -207,9 +208,12 @@ def split_points(df: DataFrame, order_by: Sequence[str], parts: int) -> list[str
     """First key, as JSON, of each range partition Spark makes of a sample of the key columns.
 
     Any points give right positions; a sample is enough for ranges of like size.
+    A small table gets fewer than ``parts`` ranges.
     """
     keys = df.select(*refs(order_by))
-    share = KEYS_PER_RANGE * parts / max(keys.count(), 1)
+    n = max(keys.count(), 1)
+    parts = min(parts, -(-n // ROWS_PER_RANGE))
+    share = KEYS_PER_RANGE * parts / n
     if share < 0.5:
         keys = keys.sample(share, seed=1)
     firsts = (keys.repartitionByRange(parts, *refs(order_by))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from messlab.operators import index
 
 
+@pytest.fixture(autouse=True)
+def many_ranges(monkeypatch):
+    monkeypatch.setattr(index, "ROWS_PER_RANGE", 50)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """A third of the rows share one leading value, another part has none."""
@@ -31,6 +36,7 @@ def test_dense_index_is_the_sorted_position(hot, order):
 def test_sampled_split_points_give_the_same_positions(hot, monkeypatch, order):
     exact = index.dense_index(hot, order).select("id", "ix")
     monkeypatch.setattr(index, "KEYS_PER_RANGE", 4)
+    monkeypatch.setattr(index, "ROWS_PER_RANGE", 300)
     sampled = index.dense_index(hot, order).select("id", "ix")
     assert sampled.exceptAll(exact).isEmpty()
     top = index.running_max(hot, "value", "id", "top").agg(F.max("top")).first()[0]

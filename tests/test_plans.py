@@ -74,7 +74,8 @@ def test_samples_filter_the_scan(orders):
     assert "Exchange" not in plan(index.sample(orders, "o_orderkey", 100))
 
 
-def test_positions_use_no_single_task_window_over_rows(orders):
+def test_positions_use_no_single_task_window_over_rows(orders, monkeypatch):
+    monkeypatch.setattr(index, "ROWS_PER_RANGE", 100)
     for made in (index.dense_index(orders, "o_orderkey"), index.hash_index(orders, "o_orderkey")):
         text = plan(made)
         rows = [line for line in text.splitlines() if "row_number()" in line and "Window" in line]
