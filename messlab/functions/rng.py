@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -80,9 +80,6 @@ class Dice:
         """True with probability ``p`` (exact to 2**-32)."""
         return f"({self.draw(*salt)} < {round(min(max(p, 0.0), 1.0) * (1 << 32))}L)"
 
-    def scoped(self, scope: str) -> Dice:
-        return replace(self, scope=scope)
-
 
 def text_key(column: str) -> str:
     """BIGINT name of a text value: the first 60 bits of its MD5."""
