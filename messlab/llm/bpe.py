@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 import regex
 import sentencepiece
-from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
 
 #: Distinct pre-tokens that a worker keeps the ids of, and the longest of them; others are encoded anew.
 KEPT, KEPT_LENGTH = 400_000, 64
@@ -37,7 +37,7 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
 
 
-def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
+def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: lines of base64 bytes and rank.  Read on the driver; bounded by the vocabulary."""
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}

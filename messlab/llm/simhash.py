@@ -206,5 +206,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                                                "component_id")
 
 
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """The documents, all columns, of which one of each group is left: the smallest id, then the smallest text.
+
+    Of rows equal in both, one is left.
+    """
+    marked = docs.withColumn("_print", fingerprints(width)(F.col(text)))
+    prints = stored(marked.groupBy("_print").agg(F.min(F.struct(F.col(id).isNull().alias("n"), F.col(id).alias("i"),
+                                                               F.xxhash64(text).alias("t"))).alias("first"))
+                    .withColumnRenamed("_print", "print"), "fingerprints")
+    groups = fingerprint_groups(prints.select("print"), radius)
+    member = prints.join(groups, "print", "left").withColumn(
+        "group", F.struct(F.col("component").isNull().alias("a"), F.coalesce("component", "print").alias("g")))
+    chosen = member.groupBy("group").agg(F.min("first").alias("first")).select(
+        F.col("first.i").alias("_i"), F.col("first.t").alias("_t"))
+    kept = docs.join(chosen, F.col(id).eqNullSafe(F.col("_i")) & F.xxhash64(text).eqNullSafe(F.col("_t")), "left_semi")
+    return kept.dropDuplicates([id, text])
+
+
 def hexadecimal(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
