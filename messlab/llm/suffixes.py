@@ -11,14 +11,15 @@ sent, with the bytes their windows cover, to the shard of their hash.  This
 loses nothing and needs no comparison between shards of different hashes.  A
 stretch can also repeat itself, if its hash occurs twice in it; it stays too.
 
-*Per shard.*  Equal stretches collapse; a suffix array of the rest is refined
+*Per shard.*  Equal stretches repeat altogether and send one of them; a suffix array is refined
 as by Larsson and Sadakane (ranks of tripled prefixes, finished groups left
 alone), and Kasai's scan gives common prefixes with the preceding suffix, all
 stretches side by side.  A common prefix of ``size`` marks both windows.
 
-*Across shards.*  A hash with more stretches than a shard takes is dealt over
-several shards.  These also pass on one digest for each distinct window, and
-the sorted lists are merged by binary search: digests met twice are repeats.
+*Across shards.*  A hash with more different stretches than a shard takes is dealt over
+several shards.  Each also passes on a sorted list of digests of its distinct
+windows, cut by digest into as many lists as there are shards; lists of the same
+cut are merged by binary search, and digests met twice are repeats.
 
 Null and empty texts have no bytes.  Texts shorter than ``size`` stay whole.
 Rows are told apart by content, so repeated rows count as copies of each other.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from messlab.llm.blocks import whole_runs
@@ -107,11 +109,13 @@ def find_stretches(size: int):
         for batch in batches:
             k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("text")
             met: set[tuple[int, int]] = set()
-            rows, columns = [], ([], [], [], [])
+            rows, columns, contents = [], ([], [], [], []), []
             for r, key in enumerate(zip(k1.tolist(), k2.tolist())):
                 if key not in met:
                     met.add(key)
-                    found = stretches(texts[r].as_py(), size)
+                    text = texts[r].as_py()
+                    found = stretches(text, size)
+                    contents += [xxhash.xxh64_intdigest(text[a:b + size]) for a, b in zip(*map(np.ndarray.tolist, found[1:3]))]
                     rows.append(np.full(len(found[0]), r))
                     for column, values in zip(columns, found):
                         column.append(values)
@@ -119,25 +123,26 @@ def find_stretches(size: int):
                 at = np.concatenate(rows)
                 h, first, last, again = (np.concatenate(c) for c in columns)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (k1[at], k2[at], h.view(np.int64), first, last, again)],
-                    ["k1", "k2", "h", "first", "last", "again"])
+                    [pa.array(x) for x in (k1[at], k2[at], h.view(np.int64), first, last, again,
+                                           np.array(contents, np.uint64).view(np.int64))],
+                    ["k1", "k2", "h", "first", "last", "again", "content"])
     return run
 
 
 def cut_bodies(size: int):
-    """For mapInArrow over texts with their shared stretches: a row per stretch with the bytes its windows cover."""
+    """For mapInArrow over texts and the stretches they send: a row per stretch with the bytes its windows cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "part", "parts", "k1", "k2", "first", "body"]
+        names = ["h", "part", "parts", "k1", "k2", "first", "body", "met"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             held = 0
             for r in range(batch.num_rows):
                 text, k1, k2 = (batch.column(c)[r].as_py() for c in ("text", "k1", "k2"))
-                for s in batch.column("shared")[r].as_py():
+                for s in batch.column("sent")[r].as_py():
                     parts = -(-s["n"] // STRETCHES)
                     body = text[s["first"]:s["last"] + size]
-                    part = (k1 + s["first"] * 0x9E3779B1) % parts
-                    for column, value in zip(out, (s["h"], part, parts, k1, k2, s["first"], body)):
+                    for column, value in zip(out, (s["h"], s["content"] % parts, parts, k1, k2, s["first"], body,
+                                                   s["met"])):
                         column.append(value)
                     held += len(body)
                 if held > 8_000_000:
@@ -149,7 +154,7 @@ def cut_bodies(size: int):
 
 
 def _bodies(out: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
 
@@ -257,41 +262,52 @@ def joined_spans(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 # --------------------------------------------------------------------- shards
 
+#: A distinct window of a split hash: 128 bits for its bytes and, if it awaits an answer, its place, else -1.
+WINDOW = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("start", "<i8")])
+SOLVED = ["k1", "k2", "start", "stop", "cut", "windows"]
+
+
 def solve_shards(size: int):
-    """For mapInArrow over stretches sorted by (h, part): spans (digest null) and, for split hashes, window digests."""
+    """For mapInArrow over stretches sorted by (h, part): spans, and for split hashes (k1 is the hash) lists of windows."""
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(5)]  # k1, k2, start, stop, digest
-        groups: dict[tuple[int, bytes], list[tuple]] = {}
-        for row in rows:
-            groups.setdefault((row[0], row[6]), []).append(row)
-        bodies = [body for _, body in groups]
-        for (_, body), members, marked in zip(groups, groups.values(), repeated_windows(bodies, size)):
-            _, _, parts, k1, k2, first, _ = members[0]
-            if len({(m[3], m[4], m[5]) for m in members}) > 1:
-                for _, _, _, m1, m2, begin, _ in members:
-                    for column, value in zip(out, (m1, m2, begin, begin + len(body), None)):
-                        column.append(value)
+        out: list[list] = [[] for _ in SOLVED]
+
+        def add(*values) -> None:
+            for column, value in zip(out, values):
+                column.append(value)
+
+        lists: dict[tuple[int, int], list[np.ndarray]] = {}
+        for (h, _, parts, k1, k2, first, body, met), marked in zip(rows, repeated_windows([x[6] for x in rows], size)):
+            if met:  # its spans are known
                 marked = np.ones(len(marked), bool)
             else:
                 for start, stop in zip(*(x.tolist() for x in joined_spans(np.flatnonzero(marked), size))):
-                    for column, value in zip(out, (k1, k2, first + start, first + stop, None)):
-                        column.append(value)
+                    add(k1, k2, first + start, first + stop, None, None)
             if parts > 1:
-                # A window marked here needs no answer, so it has no place.
-                for o, known in enumerate(marked.tolist()):
-                    digest = hashlib.blake2b(body[o:o + size], digest_size=16).hexdigest()
-                    place = (k1, k2, -1, -1) if known else (k1, k2, first + o, first + o + size)
-                    for column, value in zip(out, (*place, digest)):
-                        column.append(value)
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
-                                          ["k1", "k2", "start", "stop", "digest"])
+                own = np.zeros(len(marked), WINDOW)
+                digests = b"".join(hashlib.blake2b(body[o:o + size], digest_size=16).digest()
+                                   for o in range(len(marked)))
+                own["d1"], own["d2"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+                own["k1"], own["k2"], own["start"] = k1, k2, np.where(marked, -1, first + np.arange(len(marked)))
+                lists.setdefault((h, parts), []).append(own)
+        for (h, parts), found in lists.items():
+            own = np.concatenate(found)
+            own = own[np.lexsort((own["d2"], own["d1"]))]
+            new = np.ones(len(own), bool)  # marked windows repeat here; one of them is enough
+            new[1:] = (own["d1"][1:] != own["d1"][:-1]) | (own["d2"][1:] != own["d2"][:-1])
+            own = own[new]
+            cut = own["d1"] % np.uint64(parts)
+            for c in np.unique(cut).tolist():
+                add(h, None, None, None, c, own[cut == c].tobytes())
+        kinds = [pa.int64()] * 5 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], SOLVED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        names = ["h", "part", "parts", "k1", "k2", "first", "body", "met"]
         held, group, begun = 0, None, 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "part", "parts", "k1", "k2", "first", "body"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if row[:2] != group:
                     if held > SHARD:
                         # The last whole group may pass the mark; it goes with the next shard.
@@ -306,13 +322,24 @@ def solve_shards(size: int):
     return run
 
 
-def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over digests of split hashes in sorted order: spans of windows met in two shards."""
-    for table, _ in whole_runs(batches, ["digest"]):
-        digest = table.column("digest").to_numpy().astype("S32")
-        met = np.searchsorted(digest, digest, "right") - np.searchsorted(digest, digest, "left") > 1
-        at = np.flatnonzero(met & (table.column("start").to_numpy() >= 0))
-        yield from table.take(pa.array(at)).select(["k1", "k2", "start", "stop"]).combine_chunks().to_batches()
+def merge_shards(size: int):
+    """For mapInArrow over lists of windows sorted by (hash, cut): spans of the windows that two lists have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_runs(batches, ["k1", "cut"]):
+            lists = table.column("windows").to_pylist()
+            ends = [*(x for x in at.tolist() if x < len(lists)), len(lists)]
+            for s, e in zip(ends, ends[1:]):
+                own = np.frombuffer(b"".join(lists[s:e]), WINDOW)
+                merged = np.sort(own["d1"])
+                own = own[np.searchsorted(merged, own["d1"], "right") - np.searchsorted(merged, own["d1"], "left") > 1]
+                own = own[np.lexsort((own["d2"], own["d1"]))]
+                same = (own["d1"][1:] == own["d1"][:-1]) & (own["d2"][1:] == own["d2"][:-1])
+                met = np.append(same, False) | np.insert(same, 0, False)
+                own = own[met[:len(own)] & (own["start"] >= 0)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (own["k1"].copy(), own["k2"].copy(), own["start"].copy(),
+                                           own["start"] + size)], SOLVED[:4])
+    return run
 
 
 # ----------------------------------------------------------------- whole tables
@@ -349,26 +376,37 @@ def repeats(docs: DataFrame, text: str = "text", size: int = 400) -> DataFrame:
     if size < 2 * GRAM:
         raise ValueError(f"size must be {2 * GRAM} or more")
     rows = docs.select(*text_keys(F.col(text))).where(F.length("text") >= size)
-    found = stored(rows.mapInArrow(find_stretches(size), "k1 long, k2 long, h long, first long, last long, again boolean"), "stretches")
+    found = stored(rows.mapInArrow(find_stretches(size), "k1 long, k2 long, h long, first long, last long, "
+                                   "again boolean, content long"), "stretches")
     copies = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
     place = F.xxhash64("k1", "k2", "first")
-    shared = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("again").alias("again"),
-                                    F.count(F.lit(1)).alias("n")).where("a <> b or again").select("h", "n")
-    stretch = found.drop("again").join(shared, "h").distinct()
-    by_text = stretch.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "first", "last", "n")).alias("shared"))
-    info = stored(copies.join(by_text, ["k1", "k2"], "left").where("copies > 1 or shared is not null"), "shared")
+    shared = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("again").alias("again"))
+    shared = shared.where("a <> b or again").select("h", F.col("again").alias("self"))
+    stretch = stored(found.drop("again").join(shared, "h").distinct().withColumn("place", place), "shared")
+    # One of equal stretches is sent to the shard, unless its hash has no other content and it cannot repeat itself.
+    equal = stretch.groupBy("h", "content").agg(F.min("place").alias("sender"), F.max("place").alias("top"),
+                                                F.max("self").alias("self"))
+    number = equal.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    equal = equal.join(number, "h").select("h", "content", "sender", (F.col("sender") != F.col("top")).alias("met"),
+                                           "n", (F.col("self") | (F.col("n") > 1)).alias("sent"))
+    known = stretch.join(equal.where("met").select("h", "content"), ["h", "content"]).select(
+        "k1", "k2", F.col("first").alias("start"), (F.col("last") + size).alias("stop"))
+    sends = F.struct("h", "first", "last", "n", "content", "met")
+    by_text = stretch.drop("self").join(equal, ["h", "content"]).groupBy("k1", "k2").agg(F.collect_list(
+        F.when(F.col("sent") & (F.col("place") == F.col("sender")), sends)).alias("sent"))
+    info = stored(copies.join(by_text, ["k1", "k2"], "left").where("copies > 1 or sent is not null"), "texts-info")
     # Of equal texts one is enough; the first of each task, then one for each key.
-    wanted = info.where("shared is not null").select("k1", "k2", "copies", "shared")
+    wanted = info.where("sent is not null").select("k1", "k2", "copies", "sent")
     texts = stored(rows.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
         F.first("text").alias("text")).join(wanted, ["k1", "k2"]), "texts")
-    bodies = texts.select("k1", "k2", "text", "shared").mapInArrow(
-        cut_bodies(size), "h long, part int, parts int, k1 long, k2 long, first long, body binary")
+    bodies = texts.where(F.size("sent") > 0).select("k1", "k2", "text", "sent").mapInArrow(
+        cut_bodies(size), "h long, part int, parts int, k1 long, k2 long, first long, body binary, met boolean")
     solved = stored(bodies.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(
-        solve_shards(size), "k1 long, k2 long, start long, stop long, digest string"), "spans")
-    digests = solved.where("digest is not null")
-    across = digests.repartition("digest").sortWithinPartitions("digest").mapInArrow(
-        merge_shards, "k1 long, k2 long, start long, stop long")
-    spans = solved.where("digest is null").drop("digest").unionAll(across)
+        solve_shards(size), "k1 long, k2 long, start long, stop long, cut long, windows binary"), "spans")
+    lists = solved.where("windows is not null").select("k1", "cut", "windows")
+    across = lists.repartition("k1", "cut").sortWithinPartitions("k1", "cut").mapInArrow(
+        merge_shards(size), "k1 long, k2 long, start long, stop long")
+    spans = solved.where("windows is null").select(*SOLVED[:4]).unionAll(across).unionAll(known)
     listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     partly = texts.where("copies = 1").select("k1", "k2", "text").join(listed, ["k1", "k2"])
     wholly = info.where("copies > 1").select("k1", "k2")
