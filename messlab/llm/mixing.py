@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from messlab.llm.linear import Model, fit, labelled, sigmoid
-from messlab.llm.storage import stored
+from messlab.llm.storage import free, stored
 
 GRAMS = ("word", "pair")
 #: Labelled documents that training sees at most; rounds at most; distance from the targets that ends the fit.
@@ -117,9 +117,9 @@ def resample(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WE
     goes; sources short of their weight are repeated.
     """
     model = train(docs, labels, domain(), len(DOMAINS), id, text)
-    found = stored(docs.withColumn("_p", posterior(model)(F.col(text))), "posteriors")
-    steps, _ = fit_rates(found.select("_p.*"), weights, None, floor)
+    own, again = free(docs, "_p"), free(docs, "_again")
+    found = stored(docs.withColumn(own, posterior(model)(F.col(text))), "posteriors")
+    steps, _ = fit_rates(found.select(f"{own}.*"), weights, None, floor)
     draw = F.pmod(F.xxhash64(F.lit(37), F.col(id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    rate = rate_of(F.col("_p.posterior"), steps, floor)
-    return found.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.floor(rate + draw).cast("int")))).select(
-        *docs.columns)
+    rate = rate_of(F.col(f"{own}.posterior"), steps, floor)
+    return found.withColumn(again, F.explode(F.array_repeat(F.lit(1), F.floor(rate + draw).cast("int")))).drop(own, again)

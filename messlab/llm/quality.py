@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from messlab.llm.linear import Model, fit, labelled, sigmoid
+from messlab.llm.storage import free
 
 GRAMS = ("word", "pair", "char4")
 #: Labelled documents that training sees at most; every so many of them calibrate; bad from this probability on.
@@ -121,4 +122,5 @@ def judged(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
 def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents kept, all their columns."""
     found: Column = verdict(*train(docs, labels, id=id, text=text))(F.col(text))
-    return docs.withColumn("_verdict", found).where("_verdict.kept").select(*docs.columns)
+    own = free(docs, "_verdict")
+    return docs.withColumn(own, found).where(F.col(f"{own}.kept")).drop(own)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from messlab.llm.blocks import blocked, spanning, whole_runs
 from messlab.llm.components import components
-from messlab.llm.storage import stored
+from messlab.llm.storage import free, stored
 
 #: Members of a bucket that one block compares; members of a run that are compared by shifted planes.
 BLOCK, SHORT = 2048, 32
@@ -211,16 +211,16 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
 
     Of rows equal in both, one is left.
     """
-    marked = docs.withColumn("_print", fingerprints(width)(F.col(text)))
-    prints = stored(marked.groupBy("_print").agg(F.min(F.struct(F.col(id).isNull().alias("n"), F.col(id).alias("i"),
-                                                               F.xxhash64(text).alias("t"))).alias("first"))
-                    .withColumnRenamed("_print", "print"), "fingerprints")
+    marked = docs.select(F.col(id).alias("i"), F.xxhash64(text).alias("t"), fingerprints(width)(F.col(text)).alias("print"))
+    first = F.min(F.struct(F.col("i").isNull().alias("n"), "i", "t")).alias("first")
+    prints = stored(marked.groupBy("print").agg(first), "fingerprints")
     groups = fingerprint_groups(prints.select("print"), radius)
     member = prints.join(groups, "print", "left").withColumn(
         "group", F.struct(F.col("component").isNull().alias("a"), F.coalesce("component", "print").alias("g")))
+    i, t = free(docs, "_i"), free(docs, "_t")
     chosen = member.groupBy("group").agg(F.min("first").alias("first")).select(
-        F.col("first.i").alias("_i"), F.col("first.t").alias("_t"))
-    kept = docs.join(chosen, F.col(id).eqNullSafe(F.col("_i")) & F.xxhash64(text).eqNullSafe(F.col("_t")), "left_semi")
+        F.col("first.i").alias(i), F.col("first.t").alias(t))
+    kept = docs.join(chosen, F.col(id).eqNullSafe(F.col(i)) & F.xxhash64(text).eqNullSafe(F.col(t)), "left_semi")
     return kept.dropDuplicates([id, text])
 
 

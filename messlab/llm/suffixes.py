@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from messlab.llm.blocks import whole_runs
-from messlab.llm.storage import stored
+from messlab.llm.storage import free, stored
 
 #: Bytes of the grams whose least hash names a window; windows looked at in one go.
 GRAM, PIECE = 64, 1 << 18
@@ -459,10 +459,10 @@ def removal_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 
 def remove_repeats(docs: DataFrame, text: str = "text", size: int = 400) -> DataFrame:
     """The documents, all columns, with repeated strings cut from ``text``."""
-    found = repeats(docs, text, size).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("whole").alias("_whole"),
-        cut_text()("text", "spans").alias("_cut"))
+    one, two, whole, cut = (free(docs, name) for name in ("_k1", "_k2", "_whole", "_cut"))
+    found = repeats(docs, text, size).select(F.col("k1").alias(one), F.col("k2").alias(two),
+                                             F.col("whole").alias(whole), cut_text()("text", "spans").alias(cut))
     k1, k2, _ = text_keys(F.col(text))
-    joined = docs.join(found, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
-    left = F.when(F.coalesce("_whole", F.lit(False)), "").otherwise(F.coalesce("_cut", F.col(text)))
-    return joined.withColumn(text, left).select(*docs.columns)
+    joined = docs.join(found, (k1 == F.col(one)) & (k2 == F.col(two)), "left")
+    left = F.when(F.coalesce(whole, F.lit(False)), "").otherwise(F.coalesce(cut, F.col(text)))
+    return joined.withColumn(text, left).drop(one, two, whole, cut)
