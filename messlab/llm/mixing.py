@@ -6,8 +6,10 @@ rates such that the expected tokens of each domain (rate x tokens x posterior,
 summed) come as close to the targets as least squares allows.  The fit is
 projected gradient descent in the metric of the tokens: a step moves a
 document's rate along its posterior, scaled by the inverse of the domains' Gram
-matrix, and rates below the floor are set to it.  A rate depends only on the
-document's posterior and the few steps so far, so nothing is kept per document
+matrix, and rates outside the floor and the ceiling are set to them.  Where a
+domain is nearly absent, its target cannot be met; the damped matrix and the
+ceiling then keep single documents from being repeated without end.  A rate
+depends only on the document's posterior and the few steps so far, so nothing is kept per document
 between rounds: each is one aggregate over the written posteriors, with the
 steps as constants, and only as many numbers as there are domains come back.
 
@@ -29,6 +31,8 @@ from messlab.llm.storage import free, stored
 GRAMS = ("word", "pair")
 #: Labelled documents that training sees at most; rounds at most; distance from the targets that ends the fit.
 SAMPLE, ROUNDS, TOLERANCE = 9_000, 40, 1e-6
+#: Share of the Gram matrix's mean diagonal that is added to its diagonal.
+DAMPING = 1e-3
 #: Domains of the labels table, and the weights that the mixture aims at.
 DOMAINS = ("clean", "poor", "toxic")
 WEIGHTS = (0.85, 0.10, 0.05)
@@ -58,17 +62,17 @@ def posterior(model: Model):
     return predict.asNondeterministic()
 
 
-def rate_of(own: Column, steps: list[np.ndarray], floor: float) -> Column:
+def rate_of(own: Column, steps: list[np.ndarray], floor: float, ceiling: float = float("inf")) -> Column:
     """A document's rate after the steps: 1, moved and projected once per step."""
     if not steps:
         return F.lit(1.0)
     moves = F.array(*[F.array(*map(F.lit, map(float, s))) for s in steps])
-    return F.aggregate(moves, F.lit(1.0), lambda r, s: F.greatest(
-        F.lit(float(floor)), r - F.aggregate(F.zip_with(own, s, lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b)))
+    return F.aggregate(moves, F.lit(1.0), lambda r, s: F.least(F.lit(float(ceiling)), F.greatest(
+        F.lit(float(floor)), r - F.aggregate(F.zip_with(own, s, lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b))))
 
 
 def fit_rates(documents: DataFrame, weights: tuple[float, ...], total: float | None = None, floor: float = 0.0,
-              rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
+              ceiling: float = float("inf"), rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps, targets) for documents(tokens, posterior); ``total`` tokens are wanted.
 
     By default the total is such that the domain most in excess of its weight keeps its tokens.
@@ -84,14 +88,17 @@ def fit_rates(documents: DataFrame, weights: tuple[float, ...], total: float | N
     if total is None:
         total = max((n / s for n, s in zip(natural, share) if s > 0), default=0.0)
     targets, steps = share * total, []
-    inverse = np.linalg.pinv(gram)
+    inverse = np.linalg.pinv(gram + DAMPING * np.trace(gram) / size * np.eye(size))
+    before = float("inf")
     for _ in range(rounds):
-        rate = rate_of(F.col("posterior"), steps, floor)
+        rate = rate_of(F.col("posterior"), steps, floor, ceiling)
         reached = np.array(documents.withColumn("rate", rate).agg(*[
             F.coalesce(F.sum(F.col("rate") * F.col("tokens") * p[k]), F.lit(0.0)) for k in range(size)]).first())
         residual = np.where(present, reached - targets, 0.0)
-        if np.abs(residual).max() <= tolerance * max(1.0, targets.sum()):
+        distance = np.abs(residual).max() / max(1.0, targets.sum())
+        if distance <= tolerance or before - distance < tolerance:  # met, or as near as the limits allow
             break
+        before = distance
         steps.append(inverse @ residual)
     return steps, targets
 
@@ -109,17 +116,17 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGH
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, floor: float = 1.0,
-             id: str = "doc_id", text: str = "text") -> DataFrame:
+             ceiling: float = 4.0, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, each as often as its rate says.
 
     The part of a rate past the last whole number is the chance of one more
     row, drawn by a hash of id and text.  With the default floor no document
-    goes; sources short of their weight are repeated.
+    goes; sources short of their weight are repeated, up to the ceiling.
     """
     model = train(docs, labels, domain(), len(DOMAINS), id, text)
     own, again = free(docs, "_p"), free(docs, "_again")
     found = stored(docs.withColumn(own, posterior(model)(F.col(text))), "posteriors")
-    steps, _ = fit_rates(found.select(f"{own}.*"), weights, None, floor)
+    steps, _ = fit_rates(found.select(f"{own}.*"), weights, None, floor, ceiling)
     draw = F.pmod(F.xxhash64(F.lit(37), F.col(id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    rate = rate_of(F.col(f"{own}.posterior"), steps, floor)
+    rate = rate_of(F.col(f"{own}.posterior"), steps, floor, ceiling)
     return found.withColumn(again, F.explode(F.array_repeat(F.lit(1), F.floor(rate + draw).cast("int")))).drop(own, again)
