@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import Column, functions as F
 
 #: Distinct pre-tokens that a worker keeps the ids of, and the longest of them; others are encoded anew.
-KEPT, KEPT_LENGTH = 400_000, 64
+KEPT, KEPT_LENGTH = 250_000, 64
 
 NORMAL, UNKNOWN, BPE = 1, 2, 2
 

@@ -191,13 +191,18 @@ def ftrl(examples: list[np.ndarray], truth: np.ndarray, bits: int, alpha: float,
     return float(-z[size] * alpha / (beta + math.sqrt(n[size]))), places, w[places].astype(np.float32)
 
 
-def examples_of(texts: list[str | None], grams: tuple[str, ...], bits: int) -> list[np.ndarray]:
-    """The distinct features of each text."""
-    met = [np.zeros(0, np.int64)]
-    met += [distinct(rows << bits | at) for rows, at in features(texts, grams, bits)]
-    met = distinct(np.concatenate(met))
-    rows = met >> bits
-    return np.split(met & (1 << bits) - 1, np.searchsorted(rows, np.arange(1, len(texts))))
+def examples_of(texts: list[str | None], grams: tuple[str, ...], bits: int, group: int = 256) -> list[np.ndarray]:
+    """The distinct features of each text, found for some texts at a time."""
+    examples: list[np.ndarray] = []
+    for k in range(0, len(texts), group):
+        own = texts[k:k + group]
+        met = [np.zeros(0, np.int64)]
+        met += [distinct(rows << bits | at) for rows, at in features(own, grams, bits)]
+        met = distinct(np.concatenate(met))
+        cuts = np.searchsorted(met >> bits, np.arange(1, len(own)))
+        places = (met & (1 << bits) - 1).astype(np.int32)
+        examples += [x.copy() for x in np.split(places, cuts)]
+    return examples
 
 
 def labelled(docs: DataFrame, labels: DataFrame, truth: Column, usable: Column, id: str, text: str,
@@ -231,7 +236,7 @@ def fit(rows: DataFrame, grams: tuple[str, ...], classes: int, bits: int = 20, a
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples, truths = [], []
         for batch in batches:
-            examples += examples_of(batch.column("text").to_pylist(), grams, bits) if batch.num_rows else []
+            examples += examples_of(batch.column("text").to_pylist(), grams, bits)
             truths += batch.column("truth").to_pylist()
         truth = np.array(truths)
         apart = np.arange(len(truth)) % holdout == 0 if holdout else np.zeros(len(truth), bool)

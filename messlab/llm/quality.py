@@ -27,7 +27,7 @@ from messlab.llm.storage import free
 
 GRAMS = ("word", "pair", "char4")
 #: Labelled documents that training sees at most; every so many of them calibrate; bad from this probability on.
-SAMPLE, HOLDOUT, THRESHOLD = 16_000, 4, 0.8
+SAMPLE, HOLDOUT, THRESHOLD = 10_000, 4, 0.8
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
