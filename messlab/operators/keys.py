@@ -12,7 +12,6 @@ from messlab.operators import skew
 from messlab.operators.index import columns_of, fits, hash_index, key_width, sample
 from messlab.sources.workspace import scratch
 
-POOL_CAP = 500_000
 FEW_PARENTS = 1000
 
 PICK = "__pick"
@@ -46,7 +45,7 @@ def candidate_keys(df: DataFrame, pk: str, cap: int | None, seed: int) -> DataFr
     """
     keys = df.select(F.col(quote(pk)).alias("key")).na.drop()
     if cap is None:
-        return keys.distinct()
+        return stored(keys.distinct(), "keys")
     expected = keys.agg(F.approx_count_distinct("key", 0.02).alias("n")).first()["n"]
     share = 1.0 if expected <= 1.5 * cap else 1.5 * cap / expected
     rolled, dice = roll(keys, "key", seed, "key pool")
@@ -66,8 +65,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def key_pool(df: DataFrame, pk: str, cap: int | None = POOL_CAP, *, seed: int = 42) -> KeyPool:
-    """Distinct non-null keys of ``pk``; a uniform choice of ``cap`` of them if there are more.
+def key_pool(df: DataFrame, pk: str, cap: int | None = None, *, seed: int = 42) -> KeyPool:
+    """Distinct non-null keys of ``pk``: all of them, or a uniform choice of ``cap`` if there are more.
 
     The pool is written once, so every foreign key that draws from it reads the
     same few keys instead of deriving them from the parent again.

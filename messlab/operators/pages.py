@@ -85,10 +85,15 @@ def read_pages(spark: SparkSession, path: str, record: T.StructType) -> DataFram
     return spark.read.schema(page_schema(record)).options(**KEEP_NULLS).json(path)
 
 
-def browse(pages: DataFrame, page: int, page_size: int = 100, *, pages_per_block: int | None = None) -> DataFrame:
-    """One page of a written dump; the block filter prunes all other directories."""
-    pages_per_block = pages_per_block or block_pages(page_size)
-    return pages.filter((F.col("block") == (page - 1) // pages_per_block) & (F.col("page") == page))
+def layout(pages: DataFrame) -> int | None:
+    """Pages per block of a written dump, from the first page of block 1; None if block 0 holds all pages."""
+    first = pages.filter("block = 1").agg(F.min("page")).first()[0]
+    return None if first is None else first - 1
+
+
+def browse(pages: DataFrame, page: int) -> DataFrame:
+    """One page of a written dump of any layout; the block filter prunes all other directories."""
+    return pages.filter((F.col("block") == (page - 1) // (layout(pages) or page)) & (F.col("page") == page))
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -97,10 +102,10 @@ def records(pages: DataFrame) -> DataFrame:
             .select(((F.col("page") - 1) * F.col("page_size") + F.col("at")).alias("ix"), "record.*"))
 
 
-def append_pages(pages: DataFrame, new: DataFrame, order_by: Sequence[str] | str | None = None, *,
-                 pages_per_block: int | None = None) -> DataFrame:
+def append_pages(pages: DataFrame, new: DataFrame, order_by: Sequence[str] | str | None = None) -> DataFrame:
     """The dump after appending ``new``: full pages keep their rows, only the tail is paged again.
 
+    The layout is the dump's own; one that fits into block 0 goes on with its page size's usual blocks.
     Without ``order_by`` the new rows already hold their positions in ``ix``.
     Every envelope gets the new totals; write the result to a new directory.
     """
@@ -113,7 +118,8 @@ def append_pages(pages: DataFrame, new: DataFrame, order_by: Sequence[str] | str
     columns = [f.name for f in pages.schema["data"].dataType.elementType.fields]
     kept = pages.filter(F.col("page") <= full).withColumns({
         "total_pages": F.lit(total_pages).cast("long"), "total_records": F.lit(total).cast("long")})
-    tail = browse(pages, full + 1, size, pages_per_block=pages_per_block) if old_total % size else None
+    pages_per_block = layout(pages) or max(block_pages(size), -(-old_total // size))
+    tail = browse(pages, full + 1) if old_total % size else None
     indexed = new if order_by is None else dense_index(new, columns_of(order_by))
     shifted = indexed.select((F.col("ix") + old_total).alias("ix"), *refs(columns))
     rows = shifted if tail is None else records(tail).unionByName(shifted)

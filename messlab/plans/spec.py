@@ -32,7 +32,6 @@ IMPOSSIBLE_VALUES = {"negative_numeric_pct": 0.02, "impossible_date_pct": 0.01}
 DEFAULT_WINDOW = ("2023-01-01", "2024-12-31")
 DEFAULT_NULL_PCT = 0.04
 ROWS_PER_FILE = 500
-KEY_POOL_CAP = 500_000
 UNBOUNDED_LENGTH = 8
 EXTENSIONS = {"parquet": "parquet", "excel": "xlsx", "json": "json"}
 
@@ -192,7 +191,7 @@ def normalise(raw: Mapping) -> Spec:
         "temporal": {"start_date": str(temporal["start_date"]), "end_date": str(temporal["end_date"]),
                      "late_arriving_pct": share(temporal.get("late_arriving_pct", 0.0)),
                      "late_arriving_max_days": int(temporal.get("late_arriving_max_days", 10))},
-        "faults": everywhere, "key_pool_cap": int(cache.get("sample_size", KEY_POOL_CAP)),
+        "faults": everywhere, "key_pool_cap": int(cache["sample_size"]) if cache.get("sample_size") else None,
         "tables": [table(e, plain) for e in kinds["database"]],
         "files": [file_source(e, plain) for e in kinds["file"]],
         "apis": [api_dump(e, plain) for e in kinds["api_dump"]],

@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from messlab.functions.columns import to_ntz
 from messlab.functions.rng import ntz_micros, quote
 
-STOP_AFTER = 3600
-
 
 def read_days(spark: SparkSession, path: str, schema: T.StructType, *, files_per_batch: int = 100) -> DataFrame:
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
@@ -21,12 +19,17 @@ def read_days(spark: SparkSession, path: str, schema: T.StructType, *, files_per
 
 
 def deliver(stream: DataFrame, path: str, checkpoint: str, *, partition_by: str | None = None,
-            timeout: int = STOP_AFTER) -> None:
-    """Append everything that has arrived to the Parquet directory ``path``, then stop."""
+            timeout: int | None = None) -> None:
+    """Append everything that has arrived to the Parquet directory ``path``, then stop.
+
+    ``timeout``: seconds after which a caller gives up; without it a delivery takes the time it needs.
+    """
     writer = (stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
               .option("checkpointLocation", checkpoint).option("path", path))
     query = (writer.partitionBy(partition_by) if partition_by else writer).start()
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream to {path} did not finish within {timeout} s")
 

@@ -40,7 +40,7 @@ def test_pages_round_trip(spark, n, size):
 @pytest.mark.parametrize("old, new, size", [(0, 5, 10), (10, 5, 10), (17, 30, 10), (17, 0, 10), (25, 1, 5), (3, 3, 100)])
 def test_append_pages_again(spark, old, new, size):
     first = stored(spark, pages.page_dump(records(spark, old), "id", "api", size, pages_per_block=2), 2)
-    both = pages.append_pages(first, records(spark, new, 1000), "id", pages_per_block=2)
+    both = pages.append_pages(first, records(spark, new, 1000), "id")
     lines = sorted(stored(spark, both, 2).collect(), key=lambda r: r["page"])
     total = old + new
     ids = [*range(old), *range(1000, 1000 + new)]
@@ -51,11 +51,11 @@ def test_append_pages_again(spark, old, new, size):
 
 def test_browsing_prunes_directories(spark):
     dump = stored(spark, pages.page_dump(records(spark, 95), "id", "api", 10, pages_per_block=3), 3)
-    page = pages.browse(dump, 7, pages_per_block=3)
+    page = pages.browse(dump, 7)
     assert [r["id"] for r in page.first()["data"]] == list(range(60, 70))
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(block" in plan
-    assert pages.browse(dump, 11, pages_per_block=3).isEmpty()
+    assert pages.browse(dump, 11).isEmpty()
 
 
 def test_page_dump_groups_with_one_shuffle_of_rows(spark):
