@@ -374,6 +374,23 @@ def repaginate_append(spark, sf):
     return page_rows(written_pages(spark, both, "pages-1"))
 
 
+@query
+def browse_blocks(spark, sf):
+    """Page 3 of a dump with two pages a block, a layout that the reader is not told."""
+    dump = pages.page_dump(load(spark, sf, "events"), "event_id", "events", PAGE, columns=PAGE_COLUMNS, pages_per_block=2)
+    return page_rows(pages.browse(written_pages(spark, dump, "browse-blocks"), 3))
+
+
+@query
+def repaginate_append_blocks(spark, sf):
+    """Appending to a dump with three pages a block, whose tail page is part full."""
+    events = load(spark, sf, "events")
+    early = F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")
+    first = pages.page_dump(events.filter(early), "event_id", "events", PAGE, columns=PAGE_COLUMNS, pages_per_block=3)
+    both = pages.append_pages(written_pages(spark, first, "blocks-0"), events.filter(~early), "event_id")
+    return page_rows(written_pages(spark, both, "blocks-1"))
+
+
 @query
 def page_counts(spark, sf):
     return pages.page_counts(load(spark, sf, "events"), 77)

@@ -437,6 +437,8 @@ ORACLES["page_roundtrip"] = """
 SELECT row_number() OVER (ORDER BY event_id) - 1 AS ix, event_id, user_id, event_type, value FROM events"""
 ORACLES["page_browse"] = f"SELECT * FROM ({page_lines('event_id')}) WHERE page = 3"
 ORACLES["repaginate_append"] = page_lines("ts >= TIMESTAMP '2024-01-20', event_id")
+ORACLES["browse_blocks"] = ORACLES["page_browse"]
+ORACLES["repaginate_append_blocks"] = ORACLES["repaginate_append"]
 ORACLES["page_counts"] = """
 SELECT count(*) AS total_records, greatest(1, (count(*) + 76) // 77) AS total_pages FROM events"""
 ORACLES["page_manifest"] = """
