@@ -24,7 +24,6 @@ NESTED = 0.2
 MISSING_KEYS = 0.3
 DATE_FORMATS = ["%d/%m/%Y", "%m-%d-%Y", "%Y%m%d"]
 
-PLAIN_TIME = "yyyy-MM-dd HH:mm:ss"
 JSON_TIMES = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
               "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 KEEP_NULLS = {**JSON_TIMES, "ignoreNullFields": "false"}
@@ -40,6 +39,17 @@ def header_missing(df: DataFrame, file_key: str, pct: float, *, name: str = "hea
     return unroll(rolled.withColumn(name, F.expr(dice.chance(pct, "header"))), dice)
 
 
+def time_text(time: Column) -> Column:
+    """A time as text with the digits of its seconds that are not zero; zone-free times pass no zone."""
+    return time.cast("timestamp_ntz").cast("string")
+
+
+def csv_refs(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The columns, times as text, so that a CSV writer cuts no fraction of a second."""
+    times = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))}
+    return [time_text(ref).alias(c) if c in times else ref for c, ref in zip(columns, refs(columns))]
+
+
 def column_orders(columns: Sequence[str], count: int = 4, seed: int = 42) -> list[list[str]]:
     """The given order, then ``count`` shuffled ones; the shuffle depends on seed and names only."""
     def rank(i: int):
@@ -60,10 +70,9 @@ def csv_lines(df: DataFrame, file_key: str, columns: Sequence[str], *, pct: floa
     """Each row as a CSV line in the column order of its file, next to ``order_variant``."""
     orders = column_orders(columns, seed=seed)
     staged = order_variant(df, file_key, len(orders) - 1, pct=pct, seed=seed, scope=scope)
-    options = {"timestampNTZFormat": PLAIN_TIME, "timestampFormat": PLAIN_TIME}
-    line = F.to_csv(F.struct(*refs(orders[0])), options)
+    line = F.to_csv(F.struct(*csv_refs(df, orders[0])))
     for i, order in enumerate(orders[1:], 1):
-        line = F.when(F.col("order_variant") == i, F.to_csv(F.struct(*refs(order)), options)).otherwise(line)
+        line = F.when(F.col("order_variant") == i, F.to_csv(F.struct(*csv_refs(df, order)))).otherwise(line)
     return staged.withColumn(name, line)
 
 
@@ -79,7 +88,7 @@ def mixed_dates(df: DataFrame, file_key: str, columns: Sequence[str], *, pct: fl
                                  "__format": F.expr(dice.pick(len(DATE_FORMATS), "date format"))})
     changes = {}
     for i, c in enumerate(columns):
-        value = F.date_format(F.col(quote(c)), PLAIN_TIME)
+        value = time_text(F.col(quote(c)))
         for j, fmt in enumerate(DATE_FORMATS):
             hit = (F.col("__which") == i) & (F.col("__format") == j)
             value = F.when(hit, F.date_format(F.col(quote(c)), spark_pattern(fmt))).otherwise(value)

@@ -9,7 +9,7 @@ aliases, percentages above 1, column shorthand and regular expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 Spec = dict[str, Any]
@@ -26,7 +26,8 @@ RATES = ("null_pct", "dup_pk_pct", "orphaned_fk_pct", "negative_numeric_pct", "i
          "missing_header_pct", "soft_delete_pct", "stale_watermark_pct")
 SWITCHES = ("column_order_drift", "mixed_date_formats", "multi_sheet_split", "summary_rows",
             "schema_evolution", "nested_structure_depth_variation", "null_vs_missing_keys")
-RATE_NAMES = {"null_rate": "null_pct", "duplicate_rate": "dup_pk_pct", "duplicate_pct": "dup_pk_pct"}
+# Names of one rate; of several given, the first here counts.
+RATE_NAMES = {"null_pct": ("null_rate", "null_pct"), "dup_pk_pct": ("duplicate_rate", "dup_pk_pct", "duplicate_pct")}
 IMPOSSIBLE_VALUES = {"negative_numeric_pct": 0.02, "impossible_date_pct": 0.01}
 # Defaults.
 DEFAULT_WINDOW = ("2023-01-01", "2024-12-31")
@@ -49,15 +50,19 @@ def faults(raw: Mapping | None) -> Spec:
         out.update(IMPOSSIBLE_VALUES)
     if raw.get("naming_inconsistencies"):
         out["column_order_drift"] = True
-    for name, value in raw.items():
-        name = RATE_NAMES.get(name, name)
-        if name in RATES:
-            out[name] = share(value)
-        elif name in SWITCHES:
-            out[name] = bool(value)
+    for name in RATES:
+        given = [n for n in RATE_NAMES.get(name, (name,)) if n in raw]
+        if given:
+            out[name] = share(raw[given[0]])
+    out.update({name: bool(raw[name]) for name in SWITCHES if name in raw})
     return out
 
 
+def first_count(raw: Mapping, names: Sequence[str], default: int) -> int:
+    """The first of the named counts that is given and not zero."""
+    return int(next((raw[n] for n in names if raw.get(n)), default))
+
+
 def column_list(raw: object) -> list[Spec]:
     """Column dicts from a list, or from the shorthand mapping of name to type, choices or dict."""
     if not isinstance(raw, Mapping):
@@ -138,7 +143,7 @@ def columns_of(entity: Mapping, plain: bool) -> list[Spec]:
 def table(raw: Mapping, plain: bool = False) -> Spec:
     out = {k: raw[k] for k in ("chunk_size", "entity_intro_days_offset", "schema_versions") if k in raw}
     return {**out, "name": raw.get("target", raw["name"]), "columns": columns_of(raw, plain),
-            "row_count": int(raw.get("row_count") or raw.get("volume") or 100),
+            "row_count": first_count(raw, ("row_count", "volume") if plain else ("volume", "row_count"), 100),
             "messiness": faults(raw.get("messiness"))}
 
 
@@ -159,8 +164,9 @@ def file_source(raw: Mapping, plain: bool = False) -> Spec:
 
 def api_dump(raw: Mapping, plain: bool = False) -> Spec:
     response = raw.get("response_structure") or {}
+    totals = ("total_records", "approx_record_count")
     return {"name": raw["name"], "columns": columns_of(raw, plain), "output_dir": raw.get("output_dir") or raw["name"],
-            "total_records": int(raw.get("total_records") or raw.get("approx_record_count") or 1000),
+            "total_records": first_count(raw, totals if plain else totals[::-1], 1000),
             "page_size": int(response.get("page_size") or raw.get("page_size") or 100),
             "filename_pattern": raw.get("filename_pattern", "page_{page}.json"),
             "schema_versions": raw.get("schema_versions", []), "messiness": faults(raw.get("messiness"))}

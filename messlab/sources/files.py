@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from messlab.operators import shape
-from messlab.operators.index import refs
 
 FILE_KEY = "file_date"
-TIMES = {"timestampNTZFormat": shape.PLAIN_TIME, "timestampFormat": shape.PLAIN_TIME}
+#: Options that read the times of written CSV files, with or without a fraction of a second.
+TIMES = dict.fromkeys(("timestampNTZFormat", "timestampFormat"), "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
 # What a frequency advances the date by.
 STEP_DAYS = {"daily": 1, "weekly": 7}
 
@@ -72,9 +72,9 @@ def write_csv(df: DataFrame, path: str, *, file_key: str = FILE_KEY, missing_hea
     for variant in variants:
         part = marked.filter((F.col("headerless") == variant["headerless"])
                              & (F.col("order_variant") == variant["order_variant"]))
-        chosen = part.select(file_key, *refs(orders[variant["order_variant"]]))
+        chosen = part.select(file_key, *shape.csv_refs(part, orders[variant["order_variant"]]))
         (gathered(chosen, file_key, clustered).write.mode("append").partitionBy(file_key)
-         .options(header=not variant["headerless"], **TIMES).csv(path))
+         .options(header=not variant["headerless"]).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, *, file_key: str = FILE_KEY, keep: Sequence[str] = (),

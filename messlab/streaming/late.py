@@ -16,7 +16,7 @@ def mark_late(df: DataFrame, time: str, arrival: Sequence[str] | str, delay_hour
     A day closes when the largest earlier time minus the delay reaches its end.
     """
     marked = running_max(df, time, arrival, "__seen")
-    closes = F.date_trunc("day", F.col(time)).cast("timestamp_ntz") + F.expr("INTERVAL '1' DAY")
+    closes = F.to_date(time).cast("timestamp_ntz") + F.expr("INTERVAL '1' DAY")
     watermark = F.col("__seen") - F.expr(f"INTERVAL '{delay_hours}' HOUR")
     return marked.withColumn(name, F.coalesce(watermark >= closes, F.lit(False))).drop("__seen")
 

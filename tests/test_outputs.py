@@ -216,3 +216,23 @@ def test_json_types(spark):
 def test_scratch_names_are_fresh(spark):
     first, second = scratch(spark, "x"), scratch(spark, "x")
     assert "/messlab/x-" in first and first != second
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Sao_Paulo", "Asia/Kolkata"])
+def test_csv_keeps_fractions_and_ignores_the_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["2018-11-04 00:10:00", "2023-01-01 10:00:00.123456", "2023-01-01 10:00:00.5", None]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").select(
+            "id", F.col("t").cast("timestamp_ntz").alias("t"), F.lit("2023-01-01").cast("date").alias("file_date"))
+        path = scratch(spark, "test-csv")
+        files.write_csv(df, path)
+        back = spark.read.schema("id long, t timestamp_ntz").options(header=True, **files.TIMES).csv(path)
+        assert [r[0] for r in back.orderBy("id").select(F.col("t").cast("string")).collect()] == texts
+        lines = shape.csv_lines(df, "file_date", ["id", "t"], pct=0.0).orderBy("id").select("line").collect()
+        assert [r[0] for r in lines] == [f"{i},{t or ''}" for i, t in enumerate(texts)]
+        mixed = shape.mixed_dates(df, "file_date", "t", pct=0.0).orderBy("id").select("t").collect()
+        assert [r[0] for r in mixed] == texts
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

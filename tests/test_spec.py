@@ -196,3 +196,22 @@ def test_clean_tables_conform_and_faults_show(spark):
 
 def test_fill_patterns_as_regular_expressions():
     assert fill_regex("WH-??-###.x") == r"^WH\-[A-Z][A-Z]\-[0-9][0-9][0-9]\.x$"
+
+
+@pytest.mark.parametrize("raw, found", [
+    ({"null_pct": 0.1, "null_rate": 0.2}, {"null_pct": 0.2}), ({"null_rate": 0.2, "null_pct": 0.1}, {"null_pct": 0.2}),
+    ({"dup_pk_pct": 0.1, "duplicate_rate": 0.3, "duplicate_pct": 0.2}, {"dup_pk_pct": 0.3}),
+    ({"duplicate_pct": 0.2, "dup_pk_pct": 0.1}, {"dup_pk_pct": 0.1})])
+def test_first_name_of_a_rate_counts(raw, found):
+    assert faults(raw) == found
+
+
+def test_unified_layout_prefers_its_own_counts():
+    spec = normalise({"entities": [
+        {"name": "t", "source_type": "database", "volume": 5, "row_count": 7, "columns": {"id": "integer"}},
+        {"name": "a", "source_type": "api", "approx_record_count": 5, "total_records": 7, "columns": {"id": "integer"}}]})
+    assert spec["tables"][0]["row_count"] == 5 and spec["apis"][0]["total_records"] == 5
+    plain = normalise({"temporal": {}, "global_messiness": {}, "database": {"entities": [
+        {"name": "t", "volume": 5, "row_count": 7, "columns": []}]}, "api_dumps": [
+        {"name": "a", "approx_record_count": 5, "total_records": 7, "columns": []}]})
+    assert plain["tables"][0]["row_count"] == 7 and plain["apis"][0]["total_records"] == 7

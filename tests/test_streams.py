@@ -75,3 +75,18 @@ def test_daily_rows(spark, start, end, days):
 def test_append_fills_missing_columns(spark):
     both = batches.append(spark.range(2), spark.range(3).withColumn("extra", F.lit(1)))
     assert both.count() == 5 and both.filter("extra IS NULL").count() == 2
+
+
+def test_days_close_alike_in_every_zone(spark):
+    """A zone-free day starts at midnight, also where the session's zone skips that hour."""
+    rows = [(0, "2018-11-04 00:10:00"), (1, "2018-11-05 00:30:00"), (2, "2018-11-04 23:00:00"),
+            (3, "2018-11-05 01:00:00")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Sao_Paulo", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            marked = late.mark_late(df, "t", "id", 0).orderBy("id").select("dropped").collect()
+            assert [r[0] for r in marked] == [False, False, True, False]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
