@@ -264,15 +264,25 @@ def first_rows(df: DataFrame, order_by: Sequence[str] | str, k: int, n: int) ->
     return F.struct(*refs(order_by)) <= _literal(df, order_by, last)
 
 
-def running_max(df: DataFrame, value: str, order_by: Sequence[str] | str, name: str) -> DataFrame:
-    """Largest ``value`` among the rows before this one; null for the first row."""
-    order_by = columns_of(order_by)
+def running_max(df: DataFrame, value: str, order_by: Sequence[str] | str, name: str, *,
+                by: Sequence[str] | str = ()) -> DataFrame:
+    """Largest ``value`` among the earlier rows of the same ``by``; null for the first row.
+
+    A group is spread over the ranges of the order, so a hot one is no single
+    task; the tops of ranges are broadcast only where there are no groups.
+    """
+    order_by, by = columns_of(order_by), columns_of(by)
     bucketed = with_range_bucket(df, order_by)
-    tops = bucketed.groupBy(BUCKET).agg(F.max(F.col(quote(value))).alias("top"))
-    earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(BUCKET, F.max("top").over(earlier).alias("__top"))
-    within = Window.partitionBy(BUCKET).orderBy(*refs(order_by)).rowsBetween(
+    tops = bucketed.groupBy(*refs(by), BUCKET).agg(F.max(F.col(quote(value))).alias("top"))
+    earlier = Window.partitionBy(*refs(by)).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    groups = {f"__by{i}": c for i, c in enumerate(by)}
+    tops = tops.select(*[ref.alias(g) for g, ref in zip(groups, refs(by))], F.col(BUCKET).alias("__range"),
+                       F.max("top").over(earlier).alias("__top"))
+    same = F.col(BUCKET) == F.col("__range")
+    for group, column in groups.items():
+        same = same & F.col(quote(column)).eqNullSafe(F.col(group))
+    within = Window.partitionBy(*refs(by), BUCKET).orderBy(*refs(order_by)).rowsBetween(
         Window.unboundedPreceding, -1)
-    return (bucketed.join(F.broadcast(tops), BUCKET)
+    return (bucketed.join(tops if by else F.broadcast(tops), same)
             .withColumn(name, F.greatest("__top", F.max(F.col(quote(value))).over(within)))
-            .drop(BUCKET, "__top"))
+            .drop(BUCKET, "__range", "__top", *groups))

@@ -309,6 +309,14 @@ def stale_audit(spark, sf):
     return marked.groupBy("event_type").agg(F.count("*").alias("rows"), F.count_if("stale").alias("stale_rows"))
 
 
+@query
+def stale_audit_by_user(spark, sf):
+    events = load(spark, sf, "events").select("event_id", "ts", "user_id")
+    moved = mess.stale_watermark(events, "event_id", "ts", 0.05, **EVENTS)
+    marked = late.mark_stale(moved, "ts", "event_id", 24, by="user_id")
+    return marked.groupBy("user_id").agg(F.count("*").alias("rows"), F.count_if("stale").alias("stale_rows"))
+
+
 @query
 def soft_delete(spark, sf):
     return mess.soft_delete(load(spark, sf, "events").select("event_id"), "event_id", 0.05, **EVENTS)

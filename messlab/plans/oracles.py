@@ -413,6 +413,11 @@ ORACLES["stale_watermark"] = f"SELECT * REPLACE ({stamp('ts')} AS ts) FROM ({STA
 ORACLES["stale_audit"] = f"""
 SELECT event_type, count(*) AS rows, count(*) FILTER (WHERE ts < seen - INTERVAL 24 HOUR) AS stale_rows
 FROM (SELECT *, {EARLIER} AS seen FROM ({STALE})) GROUP BY 1"""
+ORACLES["stale_audit_by_user"] = f"""
+SELECT user_id, count(*) AS rows, count(*) FILTER (WHERE ts < seen - INTERVAL 24 HOUR) AS stale_rows
+FROM (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+  FROM (SELECT user_id, event_id, CASE WHEN {EVENTS.hit(0.05, 'ts', 'stale')} THEN ts - {HOURS['ts']} ELSE ts END AS ts
+    FROM events)) GROUP BY 1"""
 ORACLES["soft_delete"] = f"SELECT event_id, {EVENTS.hit(0.05, 'soft delete')} AS is_deleted FROM events"
 ORACLES["soft_delete_audit"] = f"""
 SELECT count(*) AS rows, count(*) FILTER (WHERE {EVENTS.hit(0.05, 'soft delete')}) AS deleted,

@@ -77,6 +77,15 @@ def test_append_fills_missing_columns(spark):
     assert both.count() == 5 and both.filter("extra IS NULL").count() == 2
 
 
+def test_stale_within_each_group(spark):
+    """Null is a group of its own; a row is measured against earlier rows of its group only."""
+    rows = [(0, "a", 10), (1, None, 1), (2, "b", 2), (3, "a", 3), (4, None, 9), (5, "b", 3), (6, None, 2)]
+    df = spark.createDataFrame(rows, "id long, g string, day int").selectExpr(
+        "id", "g", "make_timestamp_ntz(2024, 1, day, 0, 0, 0) AS t")
+    marked = late.mark_stale(df, "t", "id", 24, by="g").orderBy("id").select("id", "stale").collect()
+    assert [r["id"] for r in marked if r["stale"]] == [3, 6] and len(marked) == len(rows)
+
+
 def test_days_close_alike_in_every_zone(spark):
     """A zone-free day starts at midnight, also where the session's zone skips that hour."""
     rows = [(0, "2018-11-04 00:10:00"), (1, "2018-11-05 00:30:00"), (2, "2018-11-04 23:00:00"),
