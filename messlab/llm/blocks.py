@@ -12,17 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def blocked(rows: DataFrame, bucket: list[str], member: str, size: int) -> DataFrame:
+def blocked(rows: DataFrame, bucket: list[str], member: str, size: int, weight: Column | None = None) -> DataFrame:
     """Rows of buckets with two members or more, with columns ``block`` and ``side``, sorted by bucket and block.
 
     ``side`` is 0 in a block that compares all its rows with each other, else 1
-    or 2 for rows that are compared with the other side only.
+    or 2 for rows that are compared with the other side only.  With ``weight``
+    the rows of a part sum up to about 1 at most, too.
     """
-    parts = F.ceil(F.col("_n") / size).cast("int")
-    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    parts = F.ceil(F.greatest(F.col("_n") / size, F.col("_weight"))).cast("int")
+    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), F.sum(
+        F.lit(0.0) if weight is None else weight).alias("_weight")).where("_n > 1")
     home, other = F.col("_home"), F.col("_other")
     dealt = (rows.join(counts, bucket)
              .withColumn("_parts", parts)
@@ -30,7 +32,7 @@ def blocked(rows: DataFrame, bucket: list[str], member: str, size: int) -> DataF
              .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
              .withColumn("block", F.least(home, other) * F.col("_parts") + F.greatest(home, other))
              .withColumn("side", F.when(home == other, 0).when(home < other, 1).otherwise(2))
-             .drop("_n", "_parts", "_home", "_other"))
+             .drop("_n", "_weight", "_parts", "_home", "_other"))
     return dealt.repartition(*[F.col(c) for c in [*bucket, "block"]]).sortWithinPartitions(*bucket, "block")
 
 

@@ -217,6 +217,11 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
     groups = fingerprint_groups(prints.select("print"), radius)
     member = prints.join(groups, "print", "left").withColumn(
         "group", F.struct(F.col("component").isNull().alias("a"), F.coalesce("component", "print").alias("g")))
+    return first_of_groups(docs, member, id, text)
+
+
+def first_of_groups(docs: DataFrame, member: DataFrame, id: str, text: str) -> DataFrame:
+    """The documents that come first in the groups of ``member(group, first)``, one of equal rows."""
     i, t = free(docs, "_i"), free(docs, "_t")
     chosen = member.groupBy("group").agg(F.min("first").alias("first")).select(
         F.col("first.i").alias(i), F.col("first.t").alias(t))
