@@ -1,11 +1,14 @@
 """Operator 10, near-duplicate vectors by iterative quantisation.
 
-A rotation learnt on a bounded sample turns the centred principal axes of unit
+Rotations learnt on a bounded sample turn the centred principal axes of unit
 vectors into balanced bits.  Every vector is indexed in several tables, each
 keyed by its label and some bits of its code; tables come as partitions of the
-shuffled bits into disjoint substrings.  The key grows with the logarithm of
-the row count, so that buckets keep their size, and there are as many tables as
-a pair at the threshold needs to meet with the wanted recall.  Vectors that
+shuffled bits into disjoint substrings, and no bit is in two tables: where those
+of a rotation are used up, the next rotation brings new ones.  The key grows with
+the logarithm of the row count, so that buckets keep their size, up to half a
+word.  There are as many tables as independent bits would ask for, and more
+until made-up partners at the threshold, of the sample's vectors, meet with the
+wanted recall; keys get shorter where too many tables would be needed.  Vectors that
 meet are ranked by the original components in double precision; links below
 the threshold do not exist, and a pair that meets in several tables counts in
 the first only.
@@ -34,6 +37,8 @@ from messlab.llm.storage import stored
 #: Vectors the rotation is fitted on, rounds of the fit, members of a bucket in one block, pairs scored at once.
 SAMPLE, ROUNDS, BLOCK = 4096, 30, 2048
 RECALL = 0.995
+#: Tables at most, beyond which keys get shorter; made-up partners of each kind that recall is measured on.
+TABLES, PARTNERS = 64, 8192
 
 
 class Rotation:
@@ -66,22 +71,70 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(length > 0, length, 1)
 
 
-def table_masks(rows: int, bits: int, cosine: float, recall: float, seed: int = 11) -> list[int]:
-    """Bit masks of the tables.
+class Codes:
+    """Words of up to 64 bits, each from rotations of its own; words are learnt when they are asked for."""
 
-    Independent hyperplanes would part a pair at the threshold with the chance
-    (angle / pi) per bit.
+    def __init__(self, unit: np.ndarray):
+        self.unit = unit
+        axes = min(64, unit.shape[1])
+        self.each = 64 // axes
+        self.bits = self.each * axes
+        self.words: list[list[Rotation]] = []
+
+    def word(self, number: int) -> list[Rotation]:
+        while len(self.words) <= number:
+            first = 7 + self.each * len(self.words)
+            self.words.append([Rotation(self.unit, seed=first + k) for k in range(self.each)])
+        return self.words[number]
+
+
+def word_code(word: list[Rotation], unit: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(unit), np.uint64)
+    for k, rotation in enumerate(word):
+        out |= rotation.codes(unit) << np.uint64(k * rotation.bits)
+    return out
+
+
+def partners(unit: np.ndarray, cosine: float, number: int = PARTNERS, seed: int = 13) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two sets of pairs at the cosine: towards any direction, and towards other vectors of the sample."""
+    draw = np.random.default_rng(seed)
+    from_ = unit[np.arange(number) % len(unit)]
+    found = []
+    for aim in (draw.normal(size=from_.shape), unit[draw.integers(0, len(unit), number)]):
+        aim = aim - (aim * from_).sum(1, keepdims=True) * from_
+        length = np.sqrt((aim * aim).sum(1, keepdims=True))
+        usable = length[:, 0] > 1e-6
+        aim, start = aim[usable] / length[usable], from_[usable]
+        found.append((start, cosine * start + math.sqrt(max(0.0, 1 - cosine * cosine)) * aim))
+    return found
+
+
+def tables(codes: Codes, rows: int, cosine: float, recall: float, seed: int = 11) -> list[tuple[int, int]]:
+    """(word, bit mask) of each table.
+
+    Independent hyperplanes part a pair at the threshold with the chance
+    (angle / pi) per bit, which gives the least number of tables.
     """
-    width = min(bits, max(6, math.ceil(math.log2(max(rows, 2)))))
-    agree = (1 - math.acos(min(1.0, cosine)) / math.pi) ** width
-    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
-    generator, masks = np.random.default_rng(seed), []
-    while len(masks) < tables:
-        order = generator.permutation(bits)
-        masks += [sum(1 << int(b) for b in order[k:k + width]) for k in range(0, bits - width + 1, width)]
-        if width == bits:
-            return masks[:1]
-    return masks[:tables]
+    pairs = [(a, b) for a, b in partners(codes.unit, cosine) if len(a)]
+    differing: list[list[np.ndarray]] = []
+    found: list[tuple[int, int]] = []
+    for width in range(min(max(1, codes.bits // 2), max(6, math.ceil(math.log2(max(rows, 2))))), 0, -1):
+        agree = (1 - math.acos(min(1.0, cosine)) / math.pi) ** width
+        least = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
+        generator, found, met = np.random.default_rng(seed), [], [np.zeros(len(a), bool) for a, _ in pairs]
+        while len(found) < TABLES:
+            word, part = divmod(len(found), codes.bits // width)
+            if not part:
+                order = generator.permutation(codes.bits)
+                if word == len(differing):
+                    differing.append([word_code(codes.word(word), a) ^ word_code(codes.word(word), b) for a, b in pairs])
+            mask = sum(1 << int(b) for b in order[part * width:(part + 1) * width])
+            found.append((word, mask))
+            for known, bits in zip(met, differing[word]):
+                known |= (bits & np.uint64(mask)) == 0
+            if len(found) >= least and all(known.mean() >= recall for known in met):
+                return found
+    return found
 
 
 def stack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -89,9 +142,9 @@ def stack(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def block_links(masks: list[int], dim: int, cosine: float):
+def block_links(masks: list[tuple[int, int]], dim: int, cosine: float):
     """For mapInArrow over blocked rows: (a, b, n): spanning edges with n = 0, and link counts of a with b = a."""
-    earlier = [np.array(masks[:t], np.uint64) for t in range(len(masks))]
+    words = 1 + max(word for word, _ in masks)
 
     def links(one, two, unit, code, met):
         found = []
@@ -100,16 +153,15 @@ def block_links(masks: list[int], dim: int, cosine: float):
             i, j = np.nonzero(unit[rows] @ unit[two].T >= cosine)
             i, j = rows[i], two[j]
             keep = i != j
-            differing = code[i] ^ code[j]
-            for mask in met:
-                keep &= (differing & mask) != 0
+            for word, mask in met:
+                keep &= ((code[i, word] ^ code[j, word]) & np.uint64(mask)) != 0
             found.append((i[keep], j[keep]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_runs(batches, ["bucket", "label", "key", "block"]):
             member, copies, side, bucket = (table.column(c).to_numpy() for c in ("member", "copies", "side", "bucket"))
-            code = table.column("code").to_numpy().view(np.uint64)
+            code = stack(table.column("codes"), words).view(np.uint64)
             unit = unit_rows(stack(table.column("embedding"), dim))
             ends = np.append(at[at < len(member)], len(member))
             left, right, number = [np.zeros(0, int)], [np.zeros(0, int)], np.zeros(len(member), np.int64)
@@ -118,7 +170,7 @@ def block_links(masks: list[int], dim: int, cosine: float):
                 one, two = (own, own) if side[s] == 0 else (own[side[own] == 1], own[side[own] == 2])
                 if not len(one) or not len(two):
                     continue
-                i, j = links(one, two, unit, code, earlier[bucket[s]])
+                i, j = links(one, two, unit, code, masks[:bucket[s]])
                 np.add.at(number, i, copies[j])
                 if side[s]:
                     np.add.at(number, j, copies[i])
@@ -143,30 +195,31 @@ def distinct_vectors(rows: DataFrame, id: str, vector: str, label: str) -> DataF
     return stored(same.withColumn("member", F.monotonically_increasing_id()), "vectors")
 
 
-def fit(vectors: DataFrame, dim: int, sample: int = SAMPLE) -> Rotation:
-    """The rotation learnt on the ``sample`` vectors of lowest hash."""
+def fit(vectors: DataFrame, dim: int, sample: int = SAMPLE) -> Codes:
+    """The codes learnt on the ``sample`` vectors of lowest hash."""
     chosen = vectors.orderBy(F.xxhash64("embedding"), "member").limit(sample).select("embedding").toArrow()
-    return Rotation(unit_rows(stack(chosen.column(0), dim)))
+    return Codes(unit_rows(stack(chosen.column(0), dim)))
 
 
 def linked(vectors: DataFrame, dim: int, cosine: float, recall: float, sample: int) -> DataFrame:
     """(a, b, n) of all blocks for the distinct vectors of one length."""
     total = vectors.count()
-    rotation = fit(vectors, dim, sample)
-    masks = table_masks(total, rotation.bits, cosine, recall)
+    learnt = fit(vectors, dim, sample)
+    masks = tables(learnt, total, cosine, recall)
+    words = learnt.words[:1 + max(word for word, _ in masks)]  # without the sample
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in batches:
             unit = unit_rows(np.stack(rows.to_numpy())) if len(rows) else np.zeros((0, dim))
-            yield pd.Series(rotation.codes(unit).view(np.int64))
+            yield pd.Series(list(np.stack([word_code(w, unit) for w in words], 1).view(np.int64)))
 
-    def low(mask: int):
-        return F.col("code").bitwiseAND(mask - (1 << 64) if mask >> 63 else mask)
+    def low(word: int, mask: int):
+        return F.col("codes")[word].bitwiseAND(mask - (1 << 64) if mask >> 63 else mask)
 
-    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("bucket"), low(m).alias("key")) for t, m in enumerate(masks)]))
-    coded = vectors.withColumn("code", code.asNondeterministic()(F.col("embedding")))
-    rows = coded.withColumn("_key", keys).select("member", "label", "copies", "embedding", "code", "_key.*")
+    keys = F.explode(F.array(*[F.struct(F.lit(t).alias("bucket"), low(*m).alias("key")) for t, m in enumerate(masks)]))
+    coded = vectors.withColumn("codes", code.asNondeterministic()(F.col("embedding")))
+    rows = coded.withColumn("_key", keys).select("member", "label", "copies", "embedding", "codes", "_key.*")
     return blocked(rows, ["bucket", "label", "key"], "member", BLOCK).mapInArrow(
         block_links(masks, dim, cosine), "a long, b long, n long")
 
