@@ -4,14 +4,21 @@ A classifier over hashed words, trained on a bounded sample of labelled rows,
 gives every document a posterior over the domains.  Documents get nonnegative
 rates such that the expected tokens of each domain (rate x tokens x posterior,
 summed) come as close to the targets as least squares allows.  The fit is
-projected gradient descent in the metric of the tokens: a step moves a
-document's rate along its posterior, scaled by the inverse of the domains' Gram
-matrix, and rates outside the floor and the ceiling are set to them.  Where a
-domain is nearly absent, its target cannot be met; the damped matrix and the
-ceiling then keep single documents from being repeated without end.  A rate
-depends only on the document's posterior and the few steps so far, so nothing is kept per document
-between rounds: each is one aggregate over the written posteriors, with the
-steps as constants, and only as many numbers as there are domains come back.
+projected descent in the metric of the tokens: a step moves a document's rate
+along its posterior, and rates outside the floor and the ceiling are set to
+them.  A step is the one that, rates set to their limits and all, comes nearest
+to the targets at a small price for moving (a proximal step); as many numbers
+as there are domains name it, and a damped Newton iteration with halved steps
+finds them, with the Gram matrix of the documents that are free to move.  The
+price is lower after the first step.  A step after which the squared distance from the
+targets is not smaller is dropped, and a plain gradient step, halved likewise,
+is taken instead.  The fit ends when the targets are met, the projected gradient
+vanishes or a step at the least price gains nothing, which says the same.  Where a domain is nearly absent, the floor of all others
+and the ceiling decide how near its target comes; without a ceiling its few
+documents are repeated as often as the target asks for.  A rate depends only on
+the document's posterior and the few steps so far, so nothing is kept per
+document between rounds: each is one aggregate over the written posteriors, with
+the steps as constants, and only a few numbers per pair of domains come back.
 
 Documents without words have no tokens and keep the starting rate; null texts
 are empty.  A domain without tokens is left out of the fit, its target with it.
@@ -23,16 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from messlab.llm.linear import Model, fit, labelled, sigmoid
 from messlab.llm.storage import free, stored
 
 GRAMS = ("word", "pair")
-#: Labelled documents that training sees at most; rounds at most; distance from the targets that ends the fit.
+#: Labelled documents that training sees at most; steps at most; distance from the targets that ends the fit.
 SAMPLE, ROUNDS, TOLERANCE = 9_000, 40, 1e-6
-#: Share of the Gram matrix's mean diagonal that is added to its diagonal.
-DAMPING = 1e-3
+#: Length of the projected gradient, as a share of the one without limits, that counts as none.
+VANISHED = 1e-4
+#: Price of moving, as a share of the Gram matrix's mean diagonal: of the first step, and of all later ones.
+#: Newton rounds and halvings of a step at most.
+DAMPING, LEAST_DAMPING = 1e-3, 1e-4
+NEWTON, HALVINGS = 20, 12
 #: Domains of the labels table, and the weights that the mixture aims at.
 DOMAINS = ("clean", "poor", "toxic")
 WEIGHTS = (0.85, 0.10, 0.05)
@@ -71,6 +83,89 @@ def rate_of(own: Column, steps: list[np.ndarray], floor: float, ceiling: float =
         F.lit(float(floor)), r - F.aggregate(F.zip_with(own, s, lambda p, g: p * g), F.lit(0.0), lambda a, b: a + b))))
 
 
+class Fit:
+    """Aggregates over documents(tokens, posterior), and the steps found so far."""
+
+    def __init__(self, documents: DataFrame, size: int, floor: float, ceiling: float):
+        self.documents, self.size, self.floor, self.ceiling = documents.select("tokens", "posterior"), size, floor, ceiling
+        self.steps: list[np.ndarray] = []
+
+    def natural(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each domain, and their Gram matrix, at the starting rate."""
+        found = self.total(added([], np.zeros(self.size), float("-inf"), float("inf")))
+        return found[:self.size], found[self.size:-2].reshape(self.size, self.size)
+
+    def after(self, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """After one more step: tokens of each domain, Gram matrix of the documents within their limits, half the
+        squared move plus its price times the rate, and the squared move; all weighed by tokens."""
+        found = self.total(added(self.steps, step, self.floor, self.ceiling))
+        return found[:self.size], found[self.size:-2].reshape(self.size, self.size), found[-2], found[-1]
+
+    def total(self, partial) -> np.ndarray:
+        names = [f"v{k}" for k in range(self.size + self.size ** 2 + 2)]
+        parts = self.documents.mapInArrow(partial, ", ".join(f"{n} double" for n in names))
+        return np.array(parts.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first(), float)
+
+
+def added(steps: list[np.ndarray], step: np.ndarray, floor: float, ceiling: float):
+    """For mapInArrow over (tokens, posterior): one row of the sums of :meth:`Fit.after`."""
+    steps, size = list(steps), len(step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size + size * size + 2)
+        for batch in batches:
+            tokens = batch.column("tokens").to_numpy().astype(float)
+            p = batch.column("posterior").flatten().to_numpy().reshape(-1, size)
+            before = np.ones(len(tokens))
+            for s in steps:
+                before = np.clip(before - p @ s, floor, ceiling)
+            along = p @ step
+            wanted = before - along
+            rate = np.clip(wanted, floor, ceiling)
+            weighed = p * (tokens * ((wanted >= floor) & (wanted <= ceiling)))[:, None]
+            move = (rate - before) ** 2
+            out += np.concatenate([(rate * tokens) @ p, (weighed.T @ p).reshape(-1),
+                                   [tokens @ (move / 2 + along * rate), tokens @ move]])
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], [f"v{k}" for k in range(len(out))])
+    return run
+
+
+def proximal(fit_: Fit, targets: np.ndarray, present: np.ndarray, price: float, enough: float,
+             start: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(step, tokens reached): the step at which price x step is what remains from the targets.
+
+    It is where a concave function is greatest, whose slope is the rest of that
+    equation; Newton's direction is halved until the function rises enough.
+    """
+    def slope(reached, step):
+        return np.where(present, reached - targets - price * step, 0.0)
+
+    def height(state, step):
+        return state[2] - step @ targets - price / 2 * (step @ step)
+
+    step, state = np.zeros(len(targets)), start
+    tried = slope(start[0], step) / price  # right if the limits leave all as it is
+    found = fit_.after(tried)
+    if height(found, tried) > height(start, step):
+        step, state = tried, found
+    for _ in range(NEWTON):
+        rest = slope(state[0], step)
+        if np.abs(rest).max() <= enough:
+            break
+        direction = np.linalg.solve(state[1] + price * np.eye(len(step)), rest)
+        for halvings in range(HALVINGS):
+            part = 0.5 ** halvings
+            tried = step + part * direction
+            found = fit_.after(tried)
+            if height(found, tried) >= height(state, step) + 1e-4 * part * (rest @ direction) or \
+                    np.abs(slope(found[0], tried)).max() <= enough:
+                break
+        else:
+            break
+        step, state = tried, found
+    return step, state[0]
+
+
 def fit_rates(documents: DataFrame, weights: tuple[float, ...], total: float | None = None, floor: float = 0.0,
               ceiling: float = float("inf"), rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps, targets) for documents(tokens, posterior); ``total`` tokens are wanted.
@@ -78,29 +173,40 @@ def fit_rates(documents: DataFrame, weights: tuple[float, ...], total: float | N
     By default the total is such that the domain most in excess of its weight keeps its tokens.
     """
     size = len(weights)
-    p = [F.col("posterior")[k] for k in range(size)]
-    sums = documents.agg(*[F.coalesce(F.sum(F.col("tokens") * p[k]), F.lit(0.0)) for k in range(size)], *[
-        F.coalesce(F.sum(F.col("tokens") * p[j] * p[k]), F.lit(0.0)) for j in range(size) for k in range(size)]).first()
-    natural, gram = np.array(sums[:size]), np.array(sums[size:]).reshape(size, size)
+    fit_ = Fit(documents, size, floor, ceiling)
+    natural, gram = fit_.natural()
     present = natural > 0
     share = np.where(present, np.array(weights, float), 0.0)
     share = share / share.sum() if share.sum() else share
     if total is None:
         total = max((n / s for n, s in zip(natural, share) if s > 0), default=0.0)
-    targets, steps = share * total, []
-    inverse = np.linalg.pinv(gram + DAMPING * np.trace(gram) / size * np.eye(size))
-    before = float("inf")
+    targets = share * total
+    scale, longest = max(1.0, targets.sum()), np.linalg.norm(gram, 2)
+    damping = DAMPING
     for _ in range(rounds):
-        rate = rate_of(F.col("posterior"), steps, floor, ceiling)
-        reached = np.array(documents.withColumn("rate", rate).agg(*[
-            F.coalesce(F.sum(F.col("rate") * F.col("tokens") * p[k]), F.lit(0.0)) for k in range(size)]).first())
-        residual = np.where(present, reached - targets, 0.0)
-        distance = np.abs(residual).max() / max(1.0, targets.sum())
-        if distance <= tolerance or before - distance < tolerance:  # met, or as near as the limits allow
+        state = fit_.after(np.zeros(size))  # of rates within the limits it moves none
+        residual = np.where(present, state[0] - targets, 0.0)
+        if np.abs(residual).max() / scale <= tolerance or not longest:  # met
+            break
+        gradient = fit_.after(residual / longest)
+        if gradient[3] <= VANISHED ** 2 * (residual @ gram @ residual) / longest ** 2:  # as near as the limits allow
+            break
+        enough = max(tolerance * scale / 10, np.abs(residual).max() / 100)
+        step, reached = proximal(fit_, targets, present, damping * np.trace(gram) / size, enough, state)
+        here, last = residual @ residual, damping == LEAST_DAMPING
+        damping = max(damping / 100, LEAST_DAMPING)
+        for halvings in range(HALVINGS):
+            rest = np.where(present, reached - targets, 0.0)
+            if rest @ rest < here:
+                fit_.steps.append(step)
+                break
+            step = 0.5 ** halvings * residual / longest
+            reached = fit_.after(step)[0]
+        else:
+            break
+        if last and here - rest @ rest <= tolerance * here:  # a nearly free move gains nothing
             break
-        before = distance
-        steps.append(inverse @ residual)
-    return steps, targets
+    return fit_.steps, targets
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float | None = None,
