@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables as queries, with SQL where it can express them."""
+"""The thirteen operators over their whole tables as queries, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from messlab.llm import bpe, embeddings, language, mixing, preference, quality, simhash, suffixes, tokens, toxicity
+from messlab.llm import (alignment, bpe, embeddings, language, mixing, preference, quality, regions, simhash, suffixes,
+                         tokens, toxicity, whitening)
 from messlab.llm.workers import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +110,19 @@ def op9_quality(spark, sf):
 @query
 def op10_embeddings(spark, sf):
     return embeddings.near_duplicates(load(spark, sf, "embeddings"))
+
+
+@query
+def op11_html_text(spark, sf):
+    return regions.main_texts(load(spark, sf, "pages"))
+
+
+@query
+def op12_whitening(spark, sf):
+    return whitening.whitened(load(spark, sf, "embeddings"))
+
+
+@query
+def op13_alignment(spark, sf):
+    return alignment.alignments(load(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.path("piece_bpe_32k.model"))
