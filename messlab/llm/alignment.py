@@ -10,6 +10,10 @@ the other ids holds for two ids how often their tokens share a group: the
 shared-group links.  Long groups are no pairs of occurrences, but counted ids,
 and products are formed a bounded number of terms at a time.
 
+A text is cut into pieces where both tokenizers have a border whatever stands
+around it (a word's end before a space and a Latin letter); equal pieces have equal alignments, so
+a task aligns each once and adds them up by one more such product.
+
 An id pair's count is the number of documents that hold it linked.  Pairs are
 written with the documents, counted on the map side and summed; counts of the
 most frequent pairs, ``FREQUENT`` at most, and the highest count of each id,
@@ -28,8 +32,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +48,11 @@ from messlab.llm.storage import stored
 TEXTS, TERMS, COUNTED = 1 << 20, 1 << 21, 1 << 20
 #: Pairs whose counts travel to every task, at most.
 FREQUENT = 1 << 20
+#: Pieces that a task keeps, twice, and the longest of them in characters.
+KEPT, KEPT_LENGTH = 1 << 17, 64
+#: Texts are cut before a space with a letter of A-Z behind a character that is surely no space.
+BORDER = re.compile("(?<=[!-~\u00a1-\u024f])(?= [A-Za-z])")
+JOINED = re.compile("(?s) [A-Za-z](?:.*[!-~\u00a1-\u024f])?").fullmatch
 
 
 # ------------------------------------------------------------ sparse products
@@ -124,14 +136,8 @@ class Tokenizers:
 
     def __init__(self, json_path: str, model_path: str):
         self.paths = json_path, model_path
-        self.ready = False
-
-    def __getstate__(self):
-        return {"paths": self.paths, "ready": False}
 
     def load(self) -> Tokenizers:
-        if self.ready:
-            return self
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -146,22 +152,42 @@ class Tokenizers:
                         for k, p in ((k, self.b.id_to_piece(k)) for k in range(self.b.get_piece_size()))]
         self.a_lengths, self.b_lengths = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
         self.b_bits = max(1, (len(self.b_bytes) - 1).bit_length())
+        # Both split before a space and a letter behind a character that is no space: A's words end there, and no piece of B goes on.
+        self.apart = not any(re.search("[^\u2581]\u2581", self.b.id_to_piece(k)) for k in range(len(self.b_bytes)))
         # An id after the sign that sets it off: in a group, or first of its side.
         self.signed = [f"{sign}{k}" for sign, n in ((",", size), (";", size), (",", len(self.b_bytes)), ("|", len(self.b_bytes)))
                        for k in range(n)]
-        self.ready = True
         return self
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers; empty lists where the bytes of one are not those of the text behind a space."""
-        spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for k, text in enumerate(spaced):
-            whole = text.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a[k])) != whole or b"".join(map(self.b_bytes.__getitem__, b[k])) != whole:
-                a[k], b[k] = [], []
-        return a, b
+    def encode(self, pieces: list[str], joined: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both tokenizers: the ids of all pieces, each beginning with a space, and how many each has.
+
+        A piece whose bytes one does not give back has none.  The first ``joined`` pieces end where both have a
+        border whatever follows; they are encoded as one text.
+        """
+        whole = "".join(pieces[:joined])
+        data, ends = whole.encode(), np.cumsum([len(x.encode()) for x in pieces[:joined]])
+        out = []
+        if joined > 1:
+            for ids, lengths, table in ((self.a.encode(whole, add_special_tokens=False).ids, self.a_lengths, self.a_bytes),
+                                        (self.b.encode(whole[1:], num_threads=1), self.b_lengths, self.b_bytes)):
+                flat = np.array(ids, np.int64)
+                borders = np.cumsum(lengths[flat])
+                cuts = np.searchsorted(borders, ends) + 1
+                if len(flat) != cuts[-1] or (borders[cuts - 1] != ends).any() or b"".join(map(table.__getitem__, ids)) != data:
+                    break
+                out.append((flat, np.diff(cuts, prepend=0)))
+        if len(out) < 2:
+            joined, out = 0, [(np.zeros(0, np.int64),) * 2] * 2
+        rest: tuple[list, list] = [], []
+        for x, one, two in zip(pieces[joined:], self.a.encode_batch_fast(pieces[joined:], add_special_tokens=False),
+                               self.b.encode([x[1:] for x in pieces[joined:]], num_threads=1)):
+            one = one.ids
+            fits = b"".join(map(self.a_bytes.__getitem__, one)) == x.encode() == b"".join(map(self.b_bytes.__getitem__, two))
+            rest[0].append(one if fits else [])
+            rest[1].append(two if fits else [])
+        return [(np.concatenate([flat, np.fromiter(chain.from_iterable(own), np.int64)]),
+                 np.concatenate([counts, np.array([len(x) for x in own], np.int64)])) for (flat, counts), own in zip(out, rest)]
 
 
 def byte_letters() -> dict[str, int]:
@@ -177,52 +203,49 @@ def byte_letters() -> dict[str, int]:
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 
 
-def spread(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids, document of each)."""
-    lengths = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((k for x in ids for k in x), np.int64, lengths.sum())
-    return flat, np.repeat(np.arange(len(ids)), lengths)
+@dataclass(slots=True)
+class Piece:
+    """Alignment of a piece of text; ``n_a`` is 0 if its bytes are not given back."""
 
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str  # every group behind a semicolon
+    links: bytes  # linked id pairs, each followed by how often it is linked, 8 bytes each
 
-def align(tools: Tokenizers, texts: list[str]) -> list[tuple]:
-    """A row of ``ALIGNED`` for each text.  ``pairs``: a document's linked id pairs, ``times``: how often each is linked."""
-    a, b = tools.encode(texts)
-    flat_a, doc_a = spread(a)
-    flat_b, doc_b = spread(b)
+
+def align(tools: Tokenizers, pieces: list[str]) -> list[Piece]:
+    """The alignment of each piece of text, a space in front of it included."""
+    kind = list(map(JOINED, pieces)) if tools.apart else [None] * len(pieces)
+    order = [k for k, own in enumerate(kind) if own] + [k for k, own in enumerate(kind) if not own]
+    (flat_a, n_a), (flat_b, n_b) = tools.encode([pieces[k] for k in order], sum(map(bool, kind)))
+    of_a, of_b = np.repeat(np.arange(len(pieces)), n_a), np.repeat(np.arange(len(pieces)), n_b)
     i, j, _ = overlaps(tools.a_lengths[flat_a], tools.b_lengths[flat_b])
     group = groups(i, j)
     n_groups = int(group[-1]) + 1 if len(group) else 0
-    # Every token lies in one group: the one of its first overlap link.
+    # Every token lies in one group: that of its first overlap link.
     group_a = group[np.searchsorted(i, np.arange(len(flat_a)))] if n_groups else i
-    firsts = np.zeros(len(flat_b), np.int64)
-    firsts[j[::-1]] = group[::-1]
-    group_b = firsts
-    # ids x groups, a row for each id of a document, and groups x ids.
+    group_b = np.zeros(len(flat_b), np.int64)
+    group_b[j[::-1]] = group[::-1]
+    # ids x groups, a row for each id of a piece, and groups x ids.
     wide = np.int64(len(tools.a_bytes))
-    row_key, entry, times = summed(doc_a * wide + flat_a, group_a, np.ones(len(flat_a), np.int64), max(1, n_groups))
-    rows, row = np.unique(row_key, return_inverse=True)
+    row, entry, times = summed(of_a * wide + flat_a, group_a, np.ones(len(flat_a), np.int64), max(1, n_groups))
+    rows, row = np.unique(row, return_inverse=True)
     left = by_rows(row, entry, times, len(rows))
-    of, ids, counts = summed(group_b, flat_b, np.ones(len(flat_b), np.int64), len(tools.b_bytes))
-    right = by_rows(of, ids, counts, n_groups)
-    docs, codes, linked = [], [], []
-    for r, k, v in product(left, right, len(tools.b_bytes)):
-        docs.append(rows[r] // wide)
-        codes.append((rows[r] % wide << tools.b_bits | k).astype(np.int64))
-        linked.append(v)
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    code = np.concatenate(codes) if codes else doc
-    value = np.concatenate(linked) if linked else doc
-    at = np.searchsorted(doc, np.arange(len(texts) + 1))
-    groups_of = np.bincount(doc_a[np.searchsorted(group_a, np.arange(n_groups))], minlength=len(texts)) if n_groups else \
-        np.zeros(len(texts), np.int64)
-    digests = group_digests(tools, flat_a, doc_a, group_a, flat_b, doc_b, group_b, len(texts))
-    return [(len(a[k]), len(b[k]), int(groups_of[k]), int(value[s:e].sum()), digests[k], code[s:e].tobytes(),
-             value[s:e].astype(np.int32 if not e > s or value[s:e].max() < 1 << 31 else np.int64).tobytes())
-            for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()))]
-
-
-def group_digests(tools: Tokenizers, flat_a, doc_a, group_a, flat_b, doc_b, group_b, n: int) -> list[str]:
-    """sha256 of each document's groups as text; '' for documents without tokens."""
+    right = by_rows(*summed(group_b, flat_b, np.ones(len(flat_b), np.int64), len(tools.b_bytes)), n_groups)
+    links = [(np.zeros(0, np.int64),) * 3]
+    links += [(rows[r] // wide, rows[r] % wide << tools.b_bits | k, v) for r, k, v in product(left, right, len(tools.b_bytes))]
+    of, pair, times = (np.concatenate(c) for c in zip(*links))
+    at = np.searchsorted(of, np.arange(len(pieces) + 1)).tolist()
+    n_of = np.bincount(of_a[np.searchsorted(group_a, np.arange(n_groups))], minlength=len(pieces)).tolist()
+    texts = group_texts(tools, flat_a, of_a, group_a, flat_b, of_b, group_b, n_a + n_b)
+    links = np.stack([pair, times], 1).astype(np.int64).tobytes()
+    found = [Piece(*own, links[16 * s:16 * e]) for *own, s, e in zip(n_a.tolist(), n_b.tolist(), n_of, texts, at, at[1:])]
+    return [own for _, own in sorted(zip(order, found), key=lambda x: x[0])]
+
+
+def group_texts(tools: Tokenizers, flat_a, of_a, group_a, flat_b, of_b, group_b, n: np.ndarray) -> list[str]:
+    """Each piece's groups as text."""
     def first(g):
         return np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
 
@@ -230,20 +253,67 @@ def group_digests(tools: Tokenizers, flat_a, doc_a, group_a, flat_b, doc_b, grou
     code = np.concatenate([flat_a + size_a * first(group_a), 2 * size_a + flat_b + size_b * first(group_b)])
     # Groups in order, the first tokenizer's tokens before the other's.
     order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    code = code[order].tolist()
-    ends = np.cumsum(np.bincount(doc_a, minlength=n) + np.bincount(doc_b, minlength=n)).tolist()
-    out, start = [], 0
-    for stop in ends:
-        text = "".join(map(tools.signed.__getitem__, code[start:stop]))
-        out.append(hashlib.sha256(text[1:].encode()).hexdigest() if text else "")
-        start = stop
-    return out
+    signed = list(map(tools.signed.__getitem__, code[order].tolist()))
+    ends = np.cumsum(n).tolist()
+    return ["".join(signed[s:e]) for s, e in zip([0, *ends], ends)]
+
 
+class Aligner:
+    """Aligns texts by their pieces; short pieces met lately are kept.
 
-def aligned(tools: Tokenizers):
+    A text's linked pairs are the product of the incidence of texts with pieces and that of pieces with pairs.
+    """
+
+    def __init__(self, tools: Tokenizers):
+        self.tools, self.young, self.old = tools, {}, {}
+
+    def pieces(self, wanted: list[str]) -> list[Piece]:
+        young, old = self.young, self.old
+        found = {x: young.get(x) or old.get(x) for x in wanted}
+        new = [x for x, own in found.items() if own is None]
+        found.update(zip(new, align(self.tools, new) if new else []))
+        young.update((x, own) for x, own in found.items() if len(x) <= KEPT_LENGTH)
+        if len(young) > KEPT:
+            self.young, self.old = {}, young
+        return list(found.values())
+
+    def rows(self, texts: list[str]) -> list[tuple]:
+        """A row of ``ALIGNED`` for each text.  ``pairs``: its linked id pairs, ``times``: how often each is linked."""
+        cut = [(BORDER.split(" " + t) if self.tools.apart else [" " + t]) if t else [] for t in texts]
+        number = {x: k for k, x in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+        pieces = self.pieces(list(number))
+        places = list(map(number.__getitem__, chain.from_iterable(cut)))
+        borders = np.cumsum([0, *map(len, cut)]).tolist()
+        at, of = np.array(places, np.int64), np.repeat(np.arange(len(texts)), np.diff(borders))
+        counts = np.array([(p.n_a, p.n_b, p.n_groups) for p in pieces], np.int64).reshape(-1, 3)
+        failed = np.bincount(of, counts[at, 0] == 0, len(texts)) > 0
+        at, of = at[~failed[of]], of[~failed[of]]
+        totals = [np.bincount(of, counts[at, c], len(texts)).astype(np.int64).tolist() for c in range(3)]
+        by_text = by_rows(*summed(of, at, np.ones(len(at), np.int64), max(1, len(pieces))), len(texts))
+        linked = np.frombuffer(b"".join([p.links for p in pieces]), np.int64).reshape(-1, 2)
+        by_piece = Csr(np.cumsum([0, *(len(p.links) >> 4 for p in pieces)]), linked[:, 0], linked[:, 1])
+        links = [(np.zeros(0, np.int64),) * 3]
+        links += product(by_text, by_piece, len(self.tools.a_bytes) << self.tools.b_bits)
+        doc, pair, times = (np.concatenate(c) for c in zip(*links))
+        ends, groups_of = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist(), [p.groups for p in pieces]
+        out = []
+        for k, (s, e) in enumerate(zip(ends, ends[1:])):
+            whole = "" if failed[k] else "".join(map(groups_of.__getitem__, places[borders[k]:borders[k + 1]]))
+            digest = hashlib.sha256(whole[1:].encode()).hexdigest() if whole else ""
+            out.append((*(t[k] for t in totals), int(times[s:e].sum()), digest, pair[s:e].tobytes(), times[s:e].tobytes()))
+        return out
+
+
+@lru_cache(maxsize=1)
+def aligner_of(paths: tuple[str, str]) -> Aligner:
+    """One for all tasks of a worker."""
+    return Aligner(Tokenizers(*paths).load())
+
+
+def aligned(paths: tuple[str, str]):
     """For mapInArrow over (id, text): the id with a row of ``ALIGNED``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools.load()
+        aligner = aligner_of(paths)
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
         for batch in batches:
             ids, texts, start = batch.column("id"), batch.column("text"), 0
@@ -253,24 +323,13 @@ def aligned(tools: Tokenizers):
                     some.append(texts[stop].as_py() or "")
                     held += len(some[-1])
                     stop += 1
-                found = align_some(tools, some)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, stop - start), *[pa.array(c, k) for c, k in zip(zip(*found), kinds)]],
+                    [ids.slice(start, stop - start), *[pa.array(c, k) for c, k in zip(zip(*aligner.rows(some)), kinds)]],
                     ["id", *[c.split()[0] for c in ALIGNED.split(", ")]])
                 start = stop
     return run
 
 
-def align_some(tools: Tokenizers, texts: list[str]) -> list[tuple]:
-    """``align`` for texts of which some are empty."""
-    none = (0, 0, 0, 0, "", b"", b"")
-    full = [k for k, t in enumerate(texts) if t]
-    out = [none] * len(texts)
-    for k, row in zip(full, align(tools, [texts[k] for k in full]) if full else []):
-        out[k] = row
-    return out
-
-
 # -------------------------------------------------------------- corpus counts
 
 def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,35 +372,33 @@ def look_up(pair: np.ndarray, docs: np.ndarray, best: np.ndarray, bits: int):
         for batch in batches:
             best_links, sums, rare, rare_times = [], [], [], []
             for code, times in zip(batch.column("pairs"), batch.column("times")):
-                code, times = np.frombuffer(code.as_py(), np.int64), times.as_py()
-                times = np.frombuffer(times, np.int64 if len(times) == 8 * len(code) and len(code) else np.int32)
+                code, times = np.frombuffer(code.as_py(), np.int64), np.frombuffer(times.as_py(), np.int64)
                 at = np.minimum(np.searchsorted(pair, code), max(0, len(pair) - 1))
                 known = pair[at] == code if len(pair) else np.zeros(len(code), bool)
-                count, linked = docs[at[known]], times[known].astype(np.int64)
+                count, linked = docs[at[known]], times[known]
                 best_links.append(int(linked[count == best[code[known] >> bits]].sum()))
                 sums.append(int((count * linked).sum()))
                 rare.append(code[~known])
-                rare_times.append(times[~known].astype(np.int64))
+                rare_times.append(times[~known])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in KEPT] + [pa.array(best_links, pa.int64()), pa.array(sums, pa.int64()),
+                [batch.column(c) for c in CARRIED] + [pa.array(best_links, pa.int64()), pa.array(sums, pa.int64()),
                                                    pa.array(rare, pa.list_(pa.int64())),
                                                    pa.array(rare_times, pa.list_(pa.int64()))],
-                [*KEPT, "n_best", "count_sum", "rare", "rare_times"])
+                [*CARRIED, "n_best", "count_sum", "rare", "rare_times"])
     return run
 
 
-KEPT = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+CARRIED = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
 
 def alignments(docs: DataFrame, json_path: str, model_path: str, id: str = "doc_id", text: str = "text",
                frequent: int = FREQUENT) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    tools = Tokenizers(json_path, model_path)
     import sentencepiece
     bits = max(1, (sentencepiece.SentencePieceProcessor(model_file=model_path).get_piece_size() - 1).bit_length())
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = stored(rows.mapInArrow(aligned(tools), f"id {kind}, {ALIGNED}").withColumn("row", F.monotonically_increasing_id()),
+    found = stored(rows.mapInArrow(aligned((json_path, model_path)), f"id {kind}, {ALIGNED}").withColumn("row", F.monotonically_increasing_id()),
                    "aligned")
     counts = stored(found.select("pairs").mapInArrow(count_pairs, "pair long, docs long").groupBy("pair").agg(
         F.sum("docs").alias("docs")), "pair-counts")

@@ -84,12 +84,17 @@ def test_documents(spark, sf, frequent):
 
 
 def test_small_blocks(monkeypatch):
-    """Products in many blocks, texts in many groups."""
-    texts = [t for t in ODD if t]
-    tools = alignment.Tokenizers(JSON, MODEL).load()
-    whole = alignment.align(tools, texts)
+    """Products in many blocks, pieces forgotten at once, whole texts as pieces: the same rows."""
+    texts = [*(t or "" for t in ODD), "Zwei Wörter, drei\nWörter und  vier. " * 9]
+    whole = alignment.Aligner(alignment.Tokenizers(JSON, MODEL).load()).rows(texts)
     monkeypatch.setattr(alignment.product, "__defaults__", (3,))
-    assert alignment.align(tools, texts) == whole
+    monkeypatch.setattr(alignment, "KEPT", 2)
+    tools = alignment.Tokenizers(JSON, MODEL).load()
+    aligner = alignment.Aligner(tools)
+    assert [aligner.rows([t])[0] for t in texts] == whole and aligner.rows(texts) == whole
+    assert tools.apart
+    tools.apart = False
+    assert alignment.Aligner(tools).rows(texts) == whole
 
 
 def test_products():
