@@ -7,10 +7,12 @@ summed) come as close to the targets as least squares allows.  The fit is
 projected descent in the metric of the tokens: a step moves a document's rate
 along its posterior, and rates outside the floor and the ceiling are set to
 them.  A step is the one that, rates set to their limits and all, comes nearest
-to the targets at a small price for moving (a proximal step); as many numbers
+to the targets at a small price for moving (a proximal step, where plain projected
+gradient takes the residual over the greatest curvature: with a rare domain that needs
+thousands of passes over all documents); as many numbers
 as there are domains name it, and a damped Newton iteration with halved steps
-finds them, with the Gram matrix of the documents that are free to move.  The
-price is lower after the first step.  A step after which the squared distance from the
+finds them, with the Gram matrix of the documents that are free to move; one pass looks at all halvings.  The
+price falls from step to step.  A step after which the squared distance from the
 targets is not smaller is dropped, and a plain gradient step, halved likewise,
 is taken instead.  The fit ends when the targets are met, the projected gradient
 vanishes or a step at the least price gains nothing, which says the same.  Where a domain is nearly absent, the floor of all others
@@ -37,14 +39,14 @@ from messlab.llm.linear import Model, fit, labelled, sigmoid
 from messlab.llm.storage import free, stored
 
 GRAMS = ("word", "pair")
-#: Labelled documents that training sees at most; steps at most; distance from the targets that ends the fit.
-SAMPLE, ROUNDS, TOLERANCE = 9_000, 40, 1e-6
+#: Labelled documents that training sees at most; steps after which a fit fails; distance from the targets that ends it.
+SAMPLE, ROUNDS, TOLERANCE = 9_000, 200, 1e-6
 #: Length of the projected gradient, as a share of the one without limits, that counts as none.
 VANISHED = 1e-4
 #: Price of moving, as a share of the Gram matrix's mean diagonal: of the first step, and of all later ones.
-#: Newton rounds and halvings of a step at most.
-DAMPING, LEAST_DAMPING = 1e-3, 1e-4
-NEWTON, HALVINGS = 20, 12
+#: Halvings of a step, looked at together.
+DAMPING, LEAST_DAMPING = 1e-3, 1e-7
+HALVINGS = 12
 #: Domains of the labels table, and the weights that the mixture aims at.
 DOMAINS = ("clean", "poor", "toxic")
 WEIGHTS = (0.85, 0.10, 0.05)
@@ -89,53 +91,61 @@ class Fit:
     def __init__(self, documents: DataFrame, size: int, floor: float, ceiling: float):
         self.documents, self.size, self.floor, self.ceiling = documents.select("tokens", "posterior"), size, floor, ceiling
         self.steps: list[np.ndarray] = []
+        self.passes = 0
 
     def natural(self) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each domain, and their Gram matrix, at the starting rate."""
-        found = self.total(added([], np.zeros(self.size), float("-inf"), float("inf")))
-        return found[:self.size], found[self.size:-2].reshape(self.size, self.size)
+        return self.total(added([], [np.zeros(self.size)], float("-inf"), float("inf")), 1)[0][:2]
 
-    def after(self, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-        """After one more step: tokens of each domain, Gram matrix of the documents within their limits, half the
-        squared move plus its price times the rate, and the squared move; all weighed by tokens."""
-        found = self.total(added(self.steps, step, self.floor, self.ceiling))
-        return found[:self.size], found[self.size:-2].reshape(self.size, self.size), found[-2], found[-1]
+    def after(self, candidates: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+        """For each candidate for one more step, all in one pass: tokens of each domain, Gram matrix of the documents
+        within their limits, half the squared move plus its price times the rate, and the squared move; all weighed
+        by tokens."""
+        return self.total(added(self.steps, candidates, self.floor, self.ceiling), len(candidates))
 
-    def total(self, partial) -> np.ndarray:
+    def total(self, partial, candidates: int) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+        self.passes += 1
         names = [f"v{k}" for k in range(self.size + self.size ** 2 + 2)]
-        parts = self.documents.mapInArrow(partial, ", ".join(f"{n} double" for n in names))
-        return np.array(parts.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first(), float)
+        parts = self.documents.mapInArrow(partial, "c int, " + ", ".join(f"{n} double" for n in names))
+        found = np.zeros((candidates, len(names)))
+        for r in parts.groupBy("c").agg(*[F.sum(n).alias(n) for n in names]).collect():
+            found[r["c"]] = r[1:]
+        return [(v[:self.size], v[self.size:-2].reshape(self.size, self.size), v[-2], v[-1]) for v in found]
 
 
-def added(steps: list[np.ndarray], step: np.ndarray, floor: float, ceiling: float):
-    """For mapInArrow over (tokens, posterior): one row of the sums of :meth:`Fit.after`."""
-    steps, size = list(steps), len(step)
+def added(steps: list[np.ndarray], candidates: list[np.ndarray], floor: float, ceiling: float):
+    """For mapInArrow over (tokens, posterior): a row of the sums of :meth:`Fit.after` for each candidate c."""
+    steps, candidates = list(steps), list(candidates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(size + size * size + 2)
+        size = len(candidates[0])
+        out = np.zeros((len(candidates), size + size * size + 2))
         for batch in batches:
             tokens = batch.column("tokens").to_numpy().astype(float)
             p = batch.column("posterior").flatten().to_numpy().reshape(-1, size)
             before = np.ones(len(tokens))
             for s in steps:
                 before = np.clip(before - p @ s, floor, ceiling)
-            along = p @ step
-            wanted = before - along
-            rate = np.clip(wanted, floor, ceiling)
-            weighed = p * (tokens * ((wanted >= floor) & (wanted <= ceiling)))[:, None]
-            move = (rate - before) ** 2
-            out += np.concatenate([(rate * tokens) @ p, (weighed.T @ p).reshape(-1),
-                                   [tokens @ (move / 2 + along * rate), tokens @ move]])
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out], [f"v{k}" for k in range(len(out))])
+            for c, step in enumerate(candidates):
+                along = p @ step
+                wanted = before - along
+                rate = np.clip(wanted, floor, ceiling)
+                weighed = p * (tokens * ((wanted >= floor) & (wanted <= ceiling)))[:, None]
+                move = (rate - before) ** 2
+                out[c] += np.concatenate([(rate * tokens) @ p, (weighed.T @ p).reshape(-1),
+                                          [tokens @ (move / 2 + along * rate), tokens @ move]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), *map(pa.array, out.T)],
+                                         ["c", *[f"v{k}" for k in range(out.shape[1])]])
     return run
 
 
 def proximal(fit_: Fit, targets: np.ndarray, present: np.ndarray, price: float, enough: float,
-             start: tuple) -> tuple[np.ndarray, np.ndarray]:
+             start: tuple, tried: np.ndarray, found: tuple) -> tuple[np.ndarray, np.ndarray]:
     """(step, tokens reached): the step at which price x step is what remains from the targets.
 
-    It is where a concave function is greatest, whose slope is the rest of that
-    equation; Newton's direction is halved until the function rises enough.
+    It is where a concave function is greatest, whose slope is the rest of that equation.  Newton's direction is
+    halved until the function rises enough; all halvings are looked at in one pass.  ``tried`` and ``found`` are the
+    step that is right if the limits leave all as it is, and its sums.  Where no halving rises, the best step so far is returned.
     """
     def slope(reached, step):
         return np.where(present, reached - targets - price * step, 0.0)
@@ -144,25 +154,19 @@ def proximal(fit_: Fit, targets: np.ndarray, present: np.ndarray, price: float,
         return state[2] - step @ targets - price / 2 * (step @ step)
 
     step, state = np.zeros(len(targets)), start
-    tried = slope(start[0], step) / price  # right if the limits leave all as it is
-    found = fit_.after(tried)
     if height(found, tried) > height(start, step):
         step, state = tried, found
-    for _ in range(NEWTON):
-        rest = slope(state[0], step)
-        if np.abs(rest).max() <= enough:
-            break
+    while np.abs(rest := slope(state[0], step)).max() > enough:
         direction = np.linalg.solve(state[1] + price * np.eye(len(step)), rest)
-        for halvings in range(HALVINGS):
-            part = 0.5 ** halvings
+        parts = [0.5 ** k for k in range(HALVINGS)]
+        for part, found in zip(parts, fit_.after([step + part * direction for part in parts])):
             tried = step + part * direction
-            found = fit_.after(tried)
-            if height(found, tried) >= height(state, step) + 1e-4 * part * (rest @ direction) or \
-                    np.abs(slope(found[0], tried)).max() <= enough:
+            gain = height(found, tried) - height(state, step)
+            if gain > 0 and gain >= 1e-4 * part * (rest @ direction) or np.abs(slope(found[0], tried)).max() <= enough:
+                step, state = tried, found
                 break
         else:
             break
-        step, state = tried, found
     return step, state[0]
 
 
@@ -170,7 +174,8 @@ def fit_rates(documents: DataFrame, weights: tuple[float, ...], total: float | N
               ceiling: float = float("inf"), rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps, targets) for documents(tokens, posterior); ``total`` tokens are wanted.
 
-    By default the total is such that the domain most in excess of its weight keeps its tokens.
+    By default the total is such that the domain most in excess of its weight keeps its tokens.  A fit that has not
+    ended after ``rounds`` steps raises an error that says how far it came.
     """
     size = len(weights)
     fit_ = Fit(documents, size, floor, ceiling)
@@ -182,28 +187,34 @@ def fit_rates(documents: DataFrame, weights: tuple[float, ...], total: float | N
         total = max((n / s for n, s in zip(natural, share) if s > 0), default=0.0)
     targets = share * total
     scale, longest = max(1.0, targets.sum()), np.linalg.norm(gram, 2)
-    damping = DAMPING
-    for _ in range(rounds):
-        state = fit_.after(np.zeros(size))  # of rates within the limits it moves none
-        residual = np.where(present, state[0] - targets, 0.0)
-        if np.abs(residual).max() / scale <= tolerance or not longest:  # met
+    damping, reached = DAMPING, None
+    while longest:
+        if reached is None:  # of rates within the limits, an empty step moves none
+            reached = fit_.after([np.zeros(size)])[0][0]
+        residual = np.where(present, reached - targets, 0.0)
+        if np.abs(residual).max() / scale <= tolerance:  # met
             break
-        gradient = fit_.after(residual / longest)
+        if len(fit_.steps) == rounds:
+            raise RuntimeError(f"no fit after {rounds} steps: tokens {reached.tolist()}, targets {targets.tolist()}")
+        price = damping * np.trace(gram) / size
+        state, gradient, whole = fit_.after([np.zeros(size), residual / longest, residual / price])
         if gradient[3] <= VANISHED ** 2 * (residual @ gram @ residual) / longest ** 2:  # as near as the limits allow
             break
         enough = max(tolerance * scale / 10, np.abs(residual).max() / 100)
-        step, reached = proximal(fit_, targets, present, damping * np.trace(gram) / size, enough, state)
+        step, met = proximal(fit_, targets, present, price, enough, state, residual / price, whole)
         here, last = residual @ residual, damping == LEAST_DAMPING
         damping = max(damping / 100, LEAST_DAMPING)
-        for halvings in range(HALVINGS):
-            rest = np.where(present, reached - targets, 0.0)
-            if rest @ rest < here:
-                fit_.steps.append(step)
+        rest = np.where(present, met - targets, 0.0)
+        if rest @ rest >= here:  # a projected gradient step, halved until it comes nearer
+            shorter = [0.5 ** k * residual / longest for k in range(HALVINGS)]
+            for step, (met, *_) in zip(shorter, fit_.after(shorter)):
+                rest = np.where(present, met - targets, 0.0)
+                if rest @ rest < here:
+                    break
+            else:
                 break
-            step = 0.5 ** halvings * residual / longest
-            reached = fit_.after(step)[0]
-        else:
-            break
+        fit_.steps.append(step)
+        reached = met
         if last and here - rest @ rest <= tolerance * here:  # a nearly free move gains nothing
             break
     return fit_.steps, targets
