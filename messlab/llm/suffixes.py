@@ -1,7 +1,7 @@
-"""Operator 2, removal of repeated byte strings by sharded suffix arrays.
+"""Operator 2, removal of repeated strings by sharded suffix arrays, over bytes or over words.
 
 A byte goes when it lies in a string of ``size`` bytes that also starts
-anywhere else in the corpus.  Equal whole texts are one text from the start.
+anywhere else in the corpus; over words (:func:`remove_passages`), a word that lies in a run of so many words.  Equal whole texts are one text from the start.
 
 *Sharding.*  The least hash of the 64-byte grams inside a window of ``size``
 bytes depends on the window's content only, so equal windows share it.  Each
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,12 +40,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from messlab.llm.blocks import whole_runs
 from messlab.llm.storage import free, stored
 
-#: Bytes of the grams whose least hash names a window; windows looked at in one go.
-GRAM, PIECE = 64, 1 << 18
+#: Windows looked at in one go.
+PIECE = 1 << 18
 #: Stretches of one hash in a shard, on average; bytes of a shard.
 STRETCHES, SHARD = 2048, 1_300_000
-#: Symbols in a sort key, bits of a symbol (byte + 1, so that 0 ends a stretch).
-SYMBOLS, BITS = 7, 9
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What texts consist of: the bytes of a symbol, and the symbols of the grams whose least hash names a window."""
+
+    width: int
+    gram: int
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(text, np.uint8 if self.width == 1 else np.uint64)
+
+    def codes(self, symbols: np.ndarray) -> np.ndarray:
+        """A number of 64 mixed bits for each symbol."""
+        return BYTE_CODES[symbols] if self.width == 1 else _mix(symbols)
+
+
+#: Bytes of a text, or words of it by their hashes of 8 bytes (see :func:`word_codes`).
+BYTES, WORDS = Unit(1, 64), Unit(8, 8)
 
 
 # ------------------------------------------------------------------ stretches
@@ -58,10 +76,10 @@ BYTE_CODES = _mix(np.arange(1, 257, dtype=np.uint64))
 BASE = 0x5851F42D4C957F2D
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed polynomial hash of every ``GRAM`` bytes."""
-    h, span, base = BYTE_CODES[data], 1, BASE
-    while span < GRAM:
+def gram_hashes(data: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
+    """A mixed polynomial hash of every gram."""
+    h, span, base = unit.codes(data), 1, BASE
+    while span < unit.gram:
         h = h[:-span] * np.uint64(base) + h[span:]
         span, base = 2 * span, base * base & 0xFFFFFFFFFFFFFFFF
     return _mix(h)
@@ -76,13 +94,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[:n], values[width - span:width - span + n])
 
 
-def stretches(text: bytes, size: int) -> tuple[np.ndarray, ...]:
+def stretches(text: bytes, size: int, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
     """(hash, first window, last window, whether several grams have the hash) of the stretches of one text."""
-    width, data = size - GRAM + 1, np.frombuffer(text, np.uint8)
+    width, data = size - unit.gram + 1, unit.symbols(text)
     hashes, firsts, lasts, agains = [], [], [], []
     for start in range(0, max(0, len(data) - size + 1), PIECE):
         stop = min(start + PIECE, len(data) - size + 1)
-        grams = gram_hashes(data[start:stop + size - 1])
+        grams = gram_hashes(data[start:stop + size - 1], unit)
         least = sliding_least(grams, width)
         cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
         runs = np.diff(cuts)
@@ -103,7 +121,7 @@ def stretches(text: bytes, size: int) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, (hashes, firsts, lasts, agains)))
 
 
-def find_stretches(size: int):
+def find_stretches(size: int, unit: Unit = BYTES):
     """For mapInArrow over (k1, k2, text): the stretches of each text, met copies left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +132,9 @@ def find_stretches(size: int):
                 if key not in met:
                     met.add(key)
                     text = texts[r].as_py()
-                    found = stretches(text, size)
-                    contents += [xxhash.xxh64_intdigest(text[a:b + size]) for a, b in zip(*map(np.ndarray.tolist, found[1:3]))]
+                    found = stretches(text, size, unit)
+                    contents += [xxhash.xxh64_intdigest(text[a * unit.width:(b + size) * unit.width])
+                                 for a, b in zip(*map(np.ndarray.tolist, found[1:3]))]
                     rows.append(np.full(len(found[0]), r))
                     for column, values in zip(columns, found):
                         column.append(values)
@@ -129,8 +148,11 @@ def find_stretches(size: int):
     return run
 
 
-def cut_bodies(size: int):
-    """For mapInArrow over texts and the stretches they send: a row per stretch with the bytes its windows cover."""
+def cut_bodies(size: int, width: int = 1):
+    """For mapInArrow over texts and the stretches they send: a row per stretch with the bytes its windows cover.
+
+    Stretches and ``size`` are in symbols of ``width`` bytes.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "part", "parts", "k1", "k2", "first", "body", "met"]
         for batch in batches:
@@ -140,7 +162,7 @@ def cut_bodies(size: int):
                 text, k1, k2 = (batch.column(c)[r].as_py() for c in ("text", "k1", "k2"))
                 for s in batch.column("sent")[r].as_py():
                     parts = -(-s["n"] // STRETCHES)
-                    body = text[s["first"]:s["last"] + size]
+                    body = text[s["first"] * width:(s["last"] + size) * width]
                     for column, value in zip(out, (s["h"], s["content"] % parts, parts, k1, k2, s["first"], body,
                                                    s["met"])):
                         column.append(value)
@@ -160,15 +182,18 @@ def _bodies(out: list[list], names: list[str]) -> pa.RecordBatch:
 
 # ----------------------------------------------------------- one suffix array
 
-def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of the suffixes, rank of each position, sort key of each position)."""
-    n = len(symbols)
-    one = np.zeros(n + SYMBOLS, np.uint64)
+def suffix_array(symbols: np.ndarray, bits_of: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the suffixes, rank of each position, sort key of each position).
+
+    A symbol has ``bits_of`` bits; a sort key is as many symbols as 63 bits hold.
+    """
+    n, taken = len(symbols), 63 // bits_of
+    one = np.zeros(n + taken, np.uint64)
     one[:n] = symbols
-    two = one[:-1] << np.uint64(BITS) | one[1:]
-    four = two[:-2] << np.uint64(2 * BITS) | two[2:]
-    six = four[:-2] << np.uint64(2 * BITS) | two[4:]
-    key = (six[:-1] << np.uint64(BITS) | one[6:])[:n]
+    key = one[:n].copy()
+    for k in range(1, taken):
+        key <<= np.uint64(bits_of)
+        key |= one[k:k + n]
 
     order = np.argsort(key)
     values = key[order]
@@ -176,7 +201,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     head[1:] = values[1:] != values[:-1]
     slots, rank = np.arange(n), np.zeros(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, slots, 0))
-    depth, bits = SYMBOLS, 21 if n < (1 << 21) - 1 else 32
+    depth, bits = taken, 21 if n < (1 << 21) - 1 else 32
     while True:
         alone = head & np.append(head[1:], True)
         slots = slots[~alone]
@@ -198,7 +223,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def common_prefixes(order: np.ndarray, rank: np.ndarray, key: np.ndarray, starts: np.ndarray, windows: np.ndarray,
-                    size: int) -> tuple[np.ndarray, np.ndarray]:
+                    size: int, bits_of: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """Kasai's scan, all stretches side by side: the windows whose common prefix with the preceding suffix is
     ``size``, and those suffixes' positions.
 
@@ -208,7 +233,8 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, key: np.ndarray, starts
     before[order[1:]] = order[:-1]
     by_length = np.argsort(-windows, kind="stable")
     starts, windows = starts[by_length], windows[by_length]
-    padded = np.append(key, np.zeros(size + 2 * SYMBOLS, np.uint64))
+    taken = 63 // bits_of
+    padded = np.append(key, np.zeros(size + 2 * taken, np.uint64))
     length, ours, theirs = np.zeros(len(starts), np.int64), [], []
     for offset in range(int(windows.max(initial=0))):
         lanes = int(np.searchsorted(-windows, -offset, side="left"))  # stretches with more windows than the offset
@@ -221,10 +247,11 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, key: np.ndarray, starts
             differing = padded[i[going] + own[going]] ^ padded[j[going] + own[going]]
             same = differing == 0
             if not same.all():
-                stop = going[~same]
-                highest = np.frexp(differing[~same].astype(np.float64))[1]
-                own[stop] += SYMBOLS - -(-highest // BITS)
-            own[going[same]] += SYMBOLS
+                first, rest = np.zeros((~same).sum(), np.int64), differing[~same]
+                for k in range(1, taken):  # leading symbols that agree
+                    first += rest >> np.uint64(bits_of * k) == 0
+                own[going[~same]] += first
+            own[going[same]] += taken
             going = going[same & (own[going] < size)]
         np.minimum(own, size, out=own)
         length[:lanes] = own
@@ -236,16 +263,21 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, key: np.ndarray, starts
     return np.concatenate(ours), np.concatenate(theirs)
 
 
-def repeated_windows(bodies: list[bytes], size: int) -> list[np.ndarray]:
+def repeated_windows(bodies: list[bytes], size: int, unit: Unit = BYTES) -> list[np.ndarray]:
     """For distinct stretches: which of their windows occur at another place too."""
-    lengths = np.array([len(b) for b in bodies])
+    lengths = np.array([len(b) // unit.width for b in bodies])
     # Every stretch ends with symbol 0.
-    symbols = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
+    found = unit.symbols((bytes(unit.width).join(bodies) + bytes(unit.width)))
+    if unit.width == 1:
+        symbols, bits = found.astype(np.uint16) + np.uint16(1), 9
+    else:  # words in the order of their hashes, numbered
+        symbols = np.unique(found, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+        bits = int(symbols.max()).bit_length()
     starts = np.cumsum(lengths + 1) - lengths - 1
     symbols[starts + lengths] = 0
-    order, rank, key = suffix_array(symbols)
+    order, rank, key = suffix_array(symbols, bits)
     windows = np.maximum(lengths - size + 1, 0)
-    ours, theirs = common_prefixes(order, rank, key, starts, windows, size)
+    ours, theirs = common_prefixes(order, rank, key, starts, windows, size, bits)
     marked = np.zeros(len(symbols), bool)
     marked[ours] = True
     marked[theirs] = True
@@ -267,7 +299,7 @@ WINDOW = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("k1", "<i8"), ("k2", "<i8"), (
 SOLVED = ["k1", "k2", "start", "stop", "cut", "windows"]
 
 
-def solve_shards(size: int):
+def solve_shards(size: int, unit: Unit = BYTES):
     """For mapInArrow over stretches sorted by (h, part): spans, and for split hashes (k1 is the hash) lists of windows."""
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         out: list[list] = [[] for _ in SOLVED]
@@ -277,7 +309,7 @@ def solve_shards(size: int):
                 column.append(value)
 
         lists: dict[tuple[int, int], list[np.ndarray]] = {}
-        for (h, _, parts, k1, k2, first, body, met), marked in zip(rows, repeated_windows([x[6] for x in rows], size)):
+        for (h, _, parts, k1, k2, first, body, met), marked in zip(rows, repeated_windows([x[6] for x in rows], size, unit)):
             if met:  # its spans are known
                 marked = np.ones(len(marked), bool)
             else:
@@ -285,7 +317,7 @@ def solve_shards(size: int):
                     add(k1, k2, first + start, first + stop, None, None)
             if parts > 1:
                 own = np.zeros(len(marked), WINDOW)
-                digests = b"".join(hashlib.blake2b(body[o:o + size], digest_size=16).digest()
+                digests = b"".join(hashlib.blake2b(body[o * unit.width:(o + size) * unit.width], digest_size=16).digest()
                                    for o in range(len(marked)))
                 own["d1"], own["d2"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
                 own["k1"], own["k2"], own["start"] = k1, k2, np.where(marked, -1, first + np.arange(len(marked)))
@@ -344,12 +376,50 @@ def merge_shards(size: int):
 
 # ----------------------------------------------------------------- whole tables
 
+def keyed(body: Column) -> list[Column]:
+    """A binary column and the 128 bits that stand for it."""
+    return [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body).alias("k2"), body.alias("text")]
+
+
 def text_keys(text: Column) -> list[Column]:
     """A text's bytes and the 128 bits that stand for them."""
     whole = F.coalesce(text, F.lit(""))
     return [F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(7), whole).alias("k2"), whole.cast("binary").alias("text")]
 
 
+SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+PLACES = 1 << 16
+
+
+def word_borders(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte behind the last) of the words of a text, runs of bytes but space and 0x09 to 0x0D."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[data], [True]])))
+    return edges[::2], edges[1::2]
+
+
+def codes_of(text: bytes) -> bytes:
+    """8 bytes for every word of a text: a mixed polynomial hash."""
+    data = np.frombuffer(text, np.uint8)
+    starts, stops = word_borders(data)
+    if not len(starts):
+        return b""
+    lengths = stops - starts
+    first = np.cumsum(lengths) - lengths
+    within = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    powers = np.cumprod(np.concatenate([[1], np.full(min(int(lengths.max()), PLACES) - 1, BASE)]).astype(np.uint64), dtype=np.uint64)
+    values = BYTE_CODES[data[~SPACE[data]]] * powers[within % PLACES]
+    return _mix(np.add.reduceat(values, first)).tobytes()
+
+
+def word_codes():
+    """A column function: text to its words, 8 bytes each."""
+    @F.pandas_udf("binary")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([codes_of((t or "").encode()) for t in texts], dtype=object)
+    return code
+
+
 def merged(spans: list) -> list[tuple[int, int]]:
     """Spans in order, overlapping and touching ones joined."""
     out: list[list[int]] = []
@@ -367,16 +437,16 @@ def remaining(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def repeats(docs: DataFrame, text: str = "text", size: int = 400) -> DataFrame:
-    """(k1, k2, whole, text, spans) of the texts with repeats.
+def repeats(rows: DataFrame, size: int = 400, unit: Unit = BYTES) -> DataFrame:
+    """(k1, k2, whole, text, spans) of the texts with repeats, of rows (k1, k2, text) as :func:`keyed` makes them.
 
     ``whole``: the text occurs in several rows and goes altogether; ``text`` and
     ``spans`` are null then.  Otherwise the covered spans, not yet joined.
     """
-    if size < 2 * GRAM:
-        raise ValueError(f"size must be {2 * GRAM} or more")
-    rows = docs.select(*text_keys(F.col(text))).where(F.length("text") >= size)
-    found = stored(rows.mapInArrow(find_stretches(size), "k1 long, k2 long, h long, first long, last long, "
+    if size < 2 * unit.gram:
+        raise ValueError(f"size must be {2 * unit.gram} or more")
+    rows = rows.where(F.length("text") >= size * unit.width)
+    found = stored(rows.mapInArrow(find_stretches(size, unit), "k1 long, k2 long, h long, first long, last long, "
                                    "again boolean, content long"), "stretches")
     copies = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
     place = F.xxhash64("k1", "k2", "first")
@@ -399,10 +469,11 @@ def repeats(docs: DataFrame, text: str = "text", size: int = 400) -> DataFrame:
     wanted = info.where("sent is not null").select("k1", "k2", "copies", "sent")
     texts = stored(rows.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
         F.first("text").alias("text")).join(wanted, ["k1", "k2"]), "texts")
+    cut = cut_bodies(size) if unit == BYTES else cut_bodies(size, unit.width)
     bodies = texts.where(F.size("sent") > 0).select("k1", "k2", "text", "sent").mapInArrow(
-        cut_bodies(size), "h long, part int, parts int, k1 long, k2 long, first long, body binary, met boolean")
+        cut, "h long, part int, parts int, k1 long, k2 long, first long, body binary, met boolean")
     solved = stored(bodies.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(
-        solve_shards(size), "k1 long, k2 long, start long, stop long, cut long, windows binary"), "spans")
+        solve_shards(size, unit), "k1 long, k2 long, start long, stop long, cut long, windows binary"), "spans")
     lists = solved.where("windows is not null").select("k1", "cut", "windows")
     across = lists.repartition("k1", "cut").sortWithinPartitions("k1", "cut").mapInArrow(
         merge_shards(size), "k1 long, k2 long, start long, stop long")
@@ -444,7 +515,7 @@ def cut_text():
 
 def removal_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 400) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = repeats(docs, text, size).select(
+    found = repeats(docs.select(*text_keys(F.col(text))), size).select(
         "k1", "k2", "whole", cut_digest()("text", "spans").alias("cut"))
     k1, k2, body = text_keys(F.col(text))
     rows = docs.select(F.col(id).alias("_id"), k1, k2, body).select(
@@ -460,9 +531,47 @@ def removal_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 def remove_repeats(docs: DataFrame, text: str = "text", size: int = 400) -> DataFrame:
     """The documents, all columns, with repeated strings cut from ``text``."""
     one, two, whole, cut = (free(docs, name) for name in ("_k1", "_k2", "_whole", "_cut"))
-    found = repeats(docs, text, size).select(F.col("k1").alias(one), F.col("k2").alias(two),
+    found = repeats(docs.select(*text_keys(F.col(text))), size).select(F.col("k1").alias(one), F.col("k2").alias(two),
                                              F.col("whole").alias(whole), cut_text()("text", "spans").alias(cut))
     k1, k2, _ = text_keys(F.col(text))
     joined = docs.join(found, (k1 == F.col(one)) & (k2 == F.col(two)), "left")
     left = F.when(F.coalesce(whole, F.lit(False)), "").otherwise(F.coalesce(cut, F.col(text)))
     return joined.withColumn(text, left).drop(one, two, whole, cut)
+
+
+def without_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans and the space behind each of them; none is left at the end if the last goes."""
+    starts, stops = word_borders(np.frombuffer(text, np.uint8))
+    if not spans:
+        return text
+    edges = np.append(starts, len(text))
+    left = remaining(text, [(int(edges[a]), int(edges[b])) for a, b in spans])
+    return left.rstrip(b" \t\n\v\f\r") if spans[-1][1] == len(starts) else left
+
+
+def cut_words():
+    """A column function: text and spans of words to the remaining text; a null list cuts nothing."""
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in batches:
+            yield pd.Series([t if s is None or t is None else without_words(t.encode(), merged(list(s))).decode()
+                             for t, s in zip(texts, spans)], dtype=object)
+    return cut
+
+
+def remove_passages(docs: DataFrame, text: str = "text", words: int = 50) -> DataFrame:
+    """The documents, all columns, without passages of ``words`` words and more that also start anywhere else.
+
+    Words are runs of bytes but space and 0x09 to 0x0D; what lies between them does not matter, so texts with
+    equal words are copies of each other and lose all words.  Null texts stay null, shorter texts stay whole.
+    """
+    one, two, whole, spans, codes = (free(docs, name) for name in ("_k1", "_k2", "_whole", "_spans", "_codes"))
+    rows = docs.select(word_codes()(F.col(text)).alias("c")).select(*keyed(F.col("c")))
+    found = repeats(rows, words, WORDS).select(F.col("k1").alias(one), F.col("k2").alias(two),
+                                               F.col("whole").alias(whole), F.col("spans").alias(spans))
+    own = docs.withColumn(codes, word_codes()(F.col(text)))
+    k1, k2, _ = keyed(F.col(codes))
+    own = own.withColumn("1" + one, k1).withColumn("2" + two, k2).drop(codes)
+    joined = own.join(found, (own["1" + one] == found[one]) & (own["2" + two] == found[two]), "left")
+    left = F.when(F.coalesce(F.col(whole), F.lit(False)), F.lit("")).otherwise(cut_words()(F.col(text), F.col(spans)))
+    return joined.withColumn(text, left).select(*docs.columns)
