@@ -30,7 +30,9 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -52,7 +54,10 @@ FREQUENT = 1 << 20
 KEPT, KEPT_LENGTH = 1 << 17, 64
 #: Texts are cut before a space with a letter of A-Z behind a character that is surely no space.
 BORDER = re.compile("(?<=[!-~\u00a1-\u024f])(?= [A-Za-z])")
-JOINED = re.compile("(?s) [A-Za-z](?:.*[!-~\u00a1-\u024f])?").fullmatch
+#: Pieces of letters and signs whose classes all versions of Unicode agree on, and which end before such a border.
+JOINED = re.compile("(?s) [A-Za-z](?:[\t\n\r -~\u00a1-\u024f\u2010-\u2027]*[!-~\u00a1-\u024f])?").fullmatch
+#: Fixed value: how a byte-level vocabulary's words are cut.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 # ------------------------------------------------------------ sparse products
@@ -154,11 +159,29 @@ class Tokenizers:
         self.b_bits = max(1, (len(self.b_bytes) - 1).bit_length())
         # Both split before a space and a letter behind a character that is no space: A's words end there, and no piece of B goes on.
         self.apart = not any(re.search("[^\u2581]\u2581", self.b.id_to_piece(k)) for k in range(len(self.b_bytes)))
+        self.fast = self.ranked()
         # An id after the sign that sets it off: in a group, or first of its side.
         self.signed = [f"{sign}{k}" for sign, n in ((",", size), (";", size), (",", len(self.b_bytes)), ("|", len(self.b_bytes)))
                        for k in range(n)]
         return self
 
+    def ranked(self):
+        """The first tokenizer as a tiktoken encoding, if its ids are in the order of its merges and it cuts words at the
+        usual places; else None."""
+        import tiktoken
+        with open(self.paths[0]) as file:
+            spec = json.load(file)
+        cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+        special = {t["id"] for t in spec["added_tokens"]}
+        merged = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in model["merges"]]
+        inverse = {k: t for t, k in model["vocab"].items()}
+        usual = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True), spec["normalizer"],
+                 spec["post_processor"], model.get("ignore_merges", False)) == ("ByteLevel", False, True, None, None, False)
+        if not usual or [inverse.get(256 + k) for k in range(len(merged))] != merged:
+            return None
+        ranks = {x: k for k, x in enumerate(self.a_bytes) if k not in special}
+        return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
     def encode(self, pieces: list[str], joined: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of both tokenizers: the ids of all pieces, each beginning with a space, and how many each has.
 
@@ -169,7 +192,8 @@ class Tokenizers:
         data, ends = whole.encode(), np.cumsum([len(x.encode()) for x in pieces[:joined]])
         out = []
         if joined > 1:
-            for ids, lengths, table in ((self.a.encode(whole, add_special_tokens=False).ids, self.a_lengths, self.a_bytes),
+            first = self.fast.encode_ordinary(whole) if self.fast else self.a.encode(whole, add_special_tokens=False).ids
+            for ids, lengths, table in ((first, self.a_lengths, self.a_bytes),
                                         (self.b.encode(whole[1:], num_threads=1), self.b_lengths, self.b_bytes)):
                 flat = np.array(ids, np.int64)
                 borders = np.cumsum(lengths[flat])
@@ -203,15 +227,10 @@ def byte_letters() -> dict[str, int]:
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 
 
-@dataclass(slots=True)
-class Piece:
-    """Alignment of a piece of text; ``n_a`` is 0 if its bytes are not given back."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str  # every group behind a semicolon
-    links: bytes  # linked id pairs, each followed by how often it is linked, 8 bytes each
+#: Alignment of a piece of text: tokens of both (0 if its bytes are not given back), groups, every group behind a
+#: semicolon, and linked id pairs, each followed by how often it is linked, 8 bytes each.  Plain tuples, which the
+#: garbage collector need not visit.
+Piece = tuple[int, int, int, str, bytes]
 
 
 def align(tools: Tokenizers, pieces: list[str]) -> list[Piece]:
@@ -240,8 +259,10 @@ def align(tools: Tokenizers, pieces: list[str]) -> list[Piece]:
     n_of = np.bincount(of_a[np.searchsorted(group_a, np.arange(n_groups))], minlength=len(pieces)).tolist()
     texts = group_texts(tools, flat_a, of_a, group_a, flat_b, of_b, group_b, n_a + n_b)
     links = np.stack([pair, times], 1).astype(np.int64).tobytes()
-    found = [Piece(*own, links[16 * s:16 * e]) for *own, s, e in zip(n_a.tolist(), n_b.tolist(), n_of, texts, at, at[1:])]
-    return [own for _, own in sorted(zip(order, found), key=lambda x: x[0])]
+    out: list[Piece] = [()] * len(pieces)
+    for k, n, m, g, t, s, e in zip(order, n_a.tolist(), n_b.tolist(), n_of, texts, at, at[1:]):
+        out[k] = n, m, g, t, links[16 * s:16 * e]
+    return out
 
 
 def group_texts(tools: Tokenizers, flat_a, of_a, group_a, flat_b, of_b, group_b, n: np.ndarray) -> list[str]:
@@ -279,23 +300,31 @@ class Aligner:
 
     def rows(self, texts: list[str]) -> list[tuple]:
         """A row of ``ALIGNED`` for each text.  ``pairs``: its linked id pairs, ``times``: how often each is linked."""
+        gc.disable()  # many small objects, none of them in cycles
+        try:
+            return self._rows(texts)
+        finally:
+            gc.enable()
+
+    def _rows(self, texts: list[str]) -> list[tuple]:
         cut = [(BORDER.split(" " + t) if self.tools.apart else [" " + t]) if t else [] for t in texts]
         number = {x: k for k, x in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
         pieces = self.pieces(list(number))
         places = list(map(number.__getitem__, chain.from_iterable(cut)))
         borders = np.cumsum([0, *map(len, cut)]).tolist()
         at, of = np.array(places, np.int64), np.repeat(np.arange(len(texts)), np.diff(borders))
-        counts = np.array([(p.n_a, p.n_b, p.n_groups) for p in pieces], np.int64).reshape(-1, 3)
+        n_a, n_b, n_groups, groups_of, links_of = zip(*pieces) if pieces else ((),) * 5
+        counts = np.array([n_a, n_b, n_groups], np.int64).T
         failed = np.bincount(of, counts[at, 0] == 0, len(texts)) > 0
         at, of = at[~failed[of]], of[~failed[of]]
         totals = [np.bincount(of, counts[at, c], len(texts)).astype(np.int64).tolist() for c in range(3)]
         by_text = by_rows(*summed(of, at, np.ones(len(at), np.int64), max(1, len(pieces))), len(texts))
-        linked = np.frombuffer(b"".join([p.links for p in pieces]), np.int64).reshape(-1, 2)
-        by_piece = Csr(np.cumsum([0, *(len(p.links) >> 4 for p in pieces)]), linked[:, 0], linked[:, 1])
+        linked = np.frombuffer(b"".join(links_of), np.int64).reshape(-1, 2)
+        by_piece = Csr(np.cumsum([0, *map(len, links_of)]) >> 4, linked[:, 0], linked[:, 1])
         links = [(np.zeros(0, np.int64),) * 3]
         links += product(by_text, by_piece, len(self.tools.a_bytes) << self.tools.b_bits)
         doc, pair, times = (np.concatenate(c) for c in zip(*links))
-        ends, groups_of = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist(), [p.groups for p in pieces]
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
         out = []
         for k, (s, e) in enumerate(zip(ends, ends[1:])):
             whole = "" if failed[k] else "".join(map(groups_of.__getitem__, places[borders[k]:borders[k + 1]]))
