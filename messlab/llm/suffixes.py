@@ -53,15 +53,19 @@ class Unit:
     width: int
     gram: int
 
-    def symbols(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(text, np.uint8 if self.width == 1 else np.uint64)
+    def body(self, text: bytes) -> bytes:
+        """A text's symbols, ``width`` bytes each."""
+        return text if self.width == 1 else codes_of(text)
+
+    def symbols(self, body: bytes) -> np.ndarray:
+        return np.frombuffer(body, np.uint8 if self.width == 1 else np.uint64)
 
     def codes(self, symbols: np.ndarray) -> np.ndarray:
         """A number of 64 mixed bits for each symbol."""
         return BYTE_CODES[symbols] if self.width == 1 else _mix(symbols)
 
 
-#: Bytes of a text, or words of it by their hashes of 8 bytes (see :func:`word_codes`).
+#: Bytes of a text, or words of it by their hashes of 8 bytes (:func:`codes_of`).
 BYTES, WORDS = Unit(1, 64), Unit(8, 8)
 
 
@@ -131,7 +135,7 @@ def find_stretches(size: int, unit: Unit = BYTES):
             for r, key in enumerate(zip(k1.tolist(), k2.tolist())):
                 if key not in met:
                     met.add(key)
-                    text = texts[r].as_py()
+                    text = unit.body(texts[r].as_py())
                     found = stretches(text, size, unit)
                     contents += [xxhash.xxh64_intdigest(text[a * unit.width:(b + size) * unit.width])
                                  for a, b in zip(*map(np.ndarray.tolist, found[1:3]))]
@@ -148,11 +152,8 @@ def find_stretches(size: int, unit: Unit = BYTES):
     return run
 
 
-def cut_bodies(size: int, width: int = 1):
-    """For mapInArrow over texts and the stretches they send: a row per stretch with the bytes its windows cover.
-
-    Stretches and ``size`` are in symbols of ``width`` bytes.
-    """
+def cut_bodies(size: int, unit: Unit = BYTES):
+    """For mapInArrow over texts and the stretches they send: a row per stretch with the symbols its windows cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "part", "parts", "k1", "k2", "first", "body", "met"]
         for batch in batches:
@@ -160,9 +161,10 @@ def cut_bodies(size: int, width: int = 1):
             held = 0
             for r in range(batch.num_rows):
                 text, k1, k2 = (batch.column(c)[r].as_py() for c in ("text", "k1", "k2"))
+                text = unit.body(text)
                 for s in batch.column("sent")[r].as_py():
                     parts = -(-s["n"] // STRETCHES)
-                    body = text[s["first"] * width:(s["last"] + size) * width]
+                    body = text[s["first"] * unit.width:(s["last"] + size) * unit.width]
                     for column, value in zip(out, (s["h"], s["content"] % parts, parts, k1, k2, s["first"], body,
                                                    s["met"])):
                         column.append(value)
@@ -376,14 +378,11 @@ def merge_shards(size: int):
 
 # ----------------------------------------------------------------- whole tables
 
-def keyed(body: Column) -> list[Column]:
-    """A binary column and the 128 bits that stand for it."""
-    return [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(7), body).alias("k2"), body.alias("text")]
-
-
-def text_keys(text: Column) -> list[Column]:
-    """A text's bytes and the 128 bits that stand for them."""
+def text_keys(text: Column, unit: Unit = BYTES) -> list[Column]:
+    """A text's bytes and the 128 bits that stand for them; of words, with one space between them."""
     whole = F.coalesce(text, F.lit(""))
+    if unit == WORDS:
+        whole = F.trim(F.regexp_replace(whole, "[\\x20\\x09-\\x0D]+", " "))
     return [F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(7), whole).alias("k2"), whole.cast("binary").alias("text")]
 
 
@@ -411,15 +410,6 @@ def codes_of(text: bytes) -> bytes:
     return _mix(np.add.reduceat(values, first)).tobytes()
 
 
-def word_codes():
-    """A column function: text to its words, 8 bytes each."""
-    @F.pandas_udf("binary")
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([codes_of((t or "").encode()) for t in texts], dtype=object)
-    return code
-
-
 def merged(spans: list) -> list[tuple[int, int]]:
     """Spans in order, overlapping and touching ones joined."""
     out: list[list[int]] = []
@@ -438,14 +428,18 @@ def remaining(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def repeats(rows: DataFrame, size: int = 400, unit: Unit = BYTES) -> DataFrame:
-    """(k1, k2, whole, text, spans) of the texts with repeats, of rows (k1, k2, text) as :func:`keyed` makes them.
+    """(k1, k2, whole, text, spans) of the texts with repeats, of rows (k1, k2, text) as :func:`text_keys` makes them.
 
     ``whole``: the text occurs in several rows and goes altogether; ``text`` and
     ``spans`` are null then.  Otherwise the covered spans, not yet joined.
     """
     if size < 2 * unit.gram:
         raise ValueError(f"size must be {2 * unit.gram} or more")
-    rows = rows.where(F.length("text") >= size * unit.width)
+    if unit == BYTES:
+        rows = rows.where(F.length("text") >= size)
+    else:
+        words = F.col("text").cast("string")
+        rows = rows.where((words != "") & (F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) >= size - 1))
     found = stored(rows.mapInArrow(find_stretches(size, unit), "k1 long, k2 long, h long, first long, last long, "
                                    "again boolean, content long"), "stretches")
     copies = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
@@ -469,7 +463,7 @@ def repeats(rows: DataFrame, size: int = 400, unit: Unit = BYTES) -> DataFrame:
     wanted = info.where("sent is not null").select("k1", "k2", "copies", "sent")
     texts = stored(rows.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
         F.first("text").alias("text")).join(wanted, ["k1", "k2"]), "texts")
-    cut = cut_bodies(size) if unit == BYTES else cut_bodies(size, unit.width)
+    cut = cut_bodies(size) if unit == BYTES else cut_bodies(size, unit)
     bodies = texts.where(F.size("sent") > 0).select("k1", "k2", "text", "sent").mapInArrow(
         cut, "h long, part int, parts int, k1 long, k2 long, first long, body binary, met boolean")
     solved = stored(bodies.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(
@@ -565,13 +559,10 @@ def remove_passages(docs: DataFrame, text: str = "text", words: int = 50) -> Dat
     Words are runs of bytes but space and 0x09 to 0x0D; what lies between them does not matter, so texts with
     equal words are copies of each other and lose all words.  Null texts stay null, shorter texts stay whole.
     """
-    one, two, whole, spans, codes = (free(docs, name) for name in ("_k1", "_k2", "_whole", "_spans", "_codes"))
-    rows = docs.select(word_codes()(F.col(text)).alias("c")).select(*keyed(F.col("c")))
-    found = repeats(rows, words, WORDS).select(F.col("k1").alias(one), F.col("k2").alias(two),
-                                               F.col("whole").alias(whole), F.col("spans").alias(spans))
-    own = docs.withColumn(codes, word_codes()(F.col(text)))
-    k1, k2, _ = keyed(F.col(codes))
-    own = own.withColumn("1" + one, k1).withColumn("2" + two, k2).drop(codes)
-    joined = own.join(found, (own["1" + one] == found[one]) & (own["2" + two] == found[two]), "left")
+    one, two, whole, spans = (free(docs, name) for name in ("_k1", "_k2", "_whole", "_spans"))
+    k1, k2, body = text_keys(F.col(text), WORDS)
+    found = repeats(docs.select(k1, k2, body), words, WORDS).select(
+        F.col("k1").alias(one), F.col("k2").alias(two), F.col("whole").alias(whole), F.col("spans").alias(spans))
+    joined = docs.join(found, (k1 == F.col(one)) & (k2 == F.col(two)), "left")
     left = F.when(F.coalesce(F.col(whole), F.lit(False)), F.lit("")).otherwise(cut_words()(F.col(text), F.col(spans)))
     return joined.withColumn(text, left).select(*docs.columns)
