@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from messlab.functions.columns import Window, generate
 from messlab.operators import audit, batches, index, keys, mess, pages, shape
-from messlab.plans import samples
+from messlab.plans import runs, samples
 from messlab.plans.build import Builder
 from messlab.plans.conformance import check
 from messlab.sources import files, tables
@@ -696,6 +696,30 @@ def spec_increment(spark, sf):
     return plain(builder.tables()["children"])
 
 
+def repeated_runs(spark, sf) -> str:
+    """Directory of a first run, an increment that stops before its end, and the same increment again."""
+    first, more = load(spark, sf, "orders").count(), load(spark, sf, "customer").count()
+    raw, out = samples.parent_child(more, first), scratch(spark, "runs")
+    runs.run(spark, raw, out)
+    runs.write_outputs(Builder.of(spark, raw, rows=more, offset=first), out, 1)  # never committed
+    runs.run_increment(spark, raw, out, more)
+    return out
+
+
+@query
+def run_repeated(spark, sf):
+    """Child rows of both runs, the second of which was repeated after a stop."""
+    return plain(spark.read.parquet(f"{repeated_runs(spark, sf)}/tables/children"))
+
+
+@query
+def run_totals(spark, sf):
+    """Outputs and rows of each finished run, and the rows that the written tables hold after it."""
+    out = repeated_runs(spark, sf)
+    held = runs.summary(spark, out).groupBy("run").agg(F.sum("total_rows").alias("held_rows"))
+    return runs.totals(spark, out).join(held, "run").select("run", "outputs", "total_records", "held_rows")
+
+
 def shipment_builder(spark, sf) -> Builder:
     n = load(spark, sf, "events").count()
     return Builder.of(spark, samples.shipments(20, max(n // 20, 1), n))

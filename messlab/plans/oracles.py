@@ -666,6 +666,12 @@ SELECT {child_cells("epoch(TIMESTAMP '2024-01-01')::BIGINT", str(365 * 86400))},
 
 ORACLES["spec_tables"] = spec_table(N_CUSTOMERS, N_ORDERS, "0")
 ORACLES["spec_increment"] = spec_table(N_CUSTOMERS, N_CUSTOMERS, N_ORDERS)
+ORACLES["run_repeated"] = f"""
+SELECT *, 0 AS run_no FROM ({ORACLES["spec_tables"]}) UNION ALL BY NAME
+SELECT *, 1 AS run_no FROM ({ORACLES["spec_increment"]})"""
+ORACLES["run_totals"] = f"""
+SELECT 0 AS run, 2::BIGINT AS outputs, {N_CUSTOMERS} + {N_ORDERS} AS total_records, {N_CUSTOMERS} + {N_ORDERS} AS held_rows
+UNION ALL SELECT 1, 2, 2 * {N_CUSTOMERS}, 3 * {N_CUSTOMERS} + {N_ORDERS}"""
 SPEC_DAY = f"greatest({N_CUSTOMERS} // 30, 1)"
 ORACLES["spec_days"] = same_day(
     f"SELECT *, DATE '2024-01-01' + (row // {SPEC_DAY})::INT AS day FROM ({spec_children(f'(30 * {SPEC_DAY})', SPEC_DAY)})",

@@ -1,8 +1,14 @@
 """Runs of a specification: write everything under one directory, append to it, summarise.
 
-Layout: ``tables/<name>``, ``files/<dir>/file_date=...``, ``apis/<dir>/version=<run>``
-and ``summary``, one JSON line per output and run.  A page dump is rewritten by
-an append, so every run writes a new version next to the one it reads.
+Layout: ``tables/<name>/run_no=<run>``, ``files/<dir>/run_no=<run>/file_date=...``,
+``apis/<dir>/version=<run>`` and ``summary``, one JSON line per output and run.
+A page dump is rewritten by an append, so every run writes a new version next to
+the one it reads.
+
+A run is committed by its summary lines, which come last.  All it writes lies in
+directories of its own number, and it replaces what is there.  So a run that
+failed is repeated under the same number and leaves the same rows as one that did not
+fail.  Rows sent over JDBC are appended each time.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ import time
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from messlab.operators import pages
@@ -18,6 +25,7 @@ from messlab.plans.build import ROW, Builder, primary_key
 from messlab.plans.spec import Spec, rates
 from messlab.sources import files, tables
 
+RUN = "run_no"
 SUMMARY = ("run int, run_timestamp string, schema_version string, kind string, name string, format string, "
            "path string, target_rows bigint, rows bigint, total_rows bigint, pages bigint, next_row bigint, "
            "execution_seconds double")
@@ -28,8 +36,10 @@ def run(spark: SparkSession, raw: Mapping, out: str, *, seed: int = 42, database
     """First run: all tables, files and page dumps.  Returns the summary of this run.
 
     ``database`` registers the tables in the catalog; ``jdbc`` (url, user, ...)
-    also appends them to an external database.
+    also appends them to an external database.  A directory that holds a finished run is refused.
     """
+    if _finished(spark, out) is not None:
+        raise ValueError(f"{out} holds finished runs; append with run_increment or run_days")
     return _write(Builder.of(spark, raw, seed=seed), out, 0, database, jdbc)
 
 
@@ -59,35 +69,56 @@ def totals(spark: SparkSession, out: str) -> DataFrame:
                  F.max("execution_seconds").alias("execution_seconds")).orderBy("run"))
 
 
+def _finished(spark: SparkSession, out: str) -> tuple[int, int] | None:
+    """Number of the last finished run and the first row number no finished run has used."""
+    try:
+        row = summary(spark, out).agg(F.max("run").alias("run"), F.max("next_row").alias("next")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if row["run"] is None else (row["run"], row["next"])
+
+
 def _progress(spark: SparkSession, out: str) -> tuple[int, int]:
-    """Number of the next run and the first row number no earlier run has used."""
-    row = summary(spark, out).agg(F.max("run").alias("run"), F.max("next_row").alias("next")).first()
-    if row["run"] is None:
+    """Number and first row of the next run."""
+    last = _finished(spark, out)
+    if last is None:
         raise ValueError(f"no earlier run under {out}")
-    return row["run"] + 1, row["next"]
+    return last[0] + 1, last[1]
 
 
 def _write(builder: Builder, out: str, number: int, database: str | None,
            jdbc: Mapping[str, str] | None) -> DataFrame:
     started = time.time()
-    spark, spec = builder.spark, builder.spec
-    lines = []
-    for entity in _parents_first(spec["tables"]):
-        lines.append(_write_table(builder, entity, out, database, jdbc))
-    for source in spec["files"]:
-        lines.append(_write_file_source(builder, source, out))
-    for api in spec["apis"]:
-        lines.append(_write_api(builder, api, out, number))
+    lines = write_outputs(builder, out, number, database, jdbc)
     seconds = round(time.time() - started, 2)
     stamp = datetime.now(timezone.utc).isoformat()
     fields = [f.split()[0] for f in SUMMARY.split(", ")]
-    rows = [tuple({"run": number, "run_timestamp": stamp, "schema_version": spec["version"],
+    rows = [tuple({"run": number, "run_timestamp": stamp, "schema_version": builder.spec["version"],
                    "execution_seconds": seconds, **line}.get(f) for f in fields) for line in lines]
-    done = spark.createDataFrame(rows, SUMMARY)
+    done = builder.spark.createDataFrame(rows, SUMMARY)
     done.coalesce(1).write.mode("append").json(f"{out}/summary")
     return done
 
 
+def write_outputs(builder: Builder, out: str, number: int, database: str | None = None,
+                  jdbc: Mapping[str, str] | None = None) -> list[Spec]:
+    """All outputs of a run, not yet committed; returns the lines of its summary."""
+    spec = builder.spec
+    for entity in [*spec["tables"], *spec["files"]]:
+        if any(c["name"].lower() == RUN for c in entity["columns"]):
+            raise ValueError(f"{entity['name']}: {RUN} is the column of the run's number")
+    lines = []
+    for entity in _parents_first(spec["tables"]):
+        lines.append(_write_table(builder, entity, out, number, database, jdbc))
+    for source in spec["files"]:
+        lines.append(_write_file_source(builder, source, out, number))
+    for api in spec["apis"]:
+        lines.append(_write_api(builder, api, out, number))
+    return lines
+
+
 def _parents_first(entities: list[Spec]) -> list[Spec]:
     """Parents before children, so that a child reads its parent's written keys."""
     names, done, order = {e["name"]: e for e in entities}, set(), []
@@ -106,34 +137,34 @@ def _parents_first(entities: list[Spec]) -> list[Spec]:
     return order
 
 
-def _write_table(builder: Builder, entity: Spec, out: str, database: str | None,
+def _write_table(builder: Builder, entity: Spec, out: str, number: int, database: str | None,
                  jdbc: Mapping[str, str] | None) -> Spec:
     name, path = entity["name"], f"{out}/tables/{entity['name']}"
     first = builder.offset == 0 and not builder.days
     seen = Observation(f"rows of {name}")
     frame = builder.table(entity).observe(seen, F.count(F.lit(1)).alias("rows"))
+    frame.write.mode("overwrite").parquet(f"{path}/{RUN}={number}")
     if database:
-        tables.save_table(frame, f"{database}.{name}", path=path)
-    else:
-        frame.write.mode("append").parquet(path)
+        tables.register(builder.spark, f"{database}.{name}", path)
     if jdbc:
         properties = {k: v for k, v in jdbc.items() if k != "url"}
         tables.save_jdbc(builder.table(entity), jdbc["url"], name, properties=properties)
-    stored = builder.spark.read.parquet(path)
     if first and primary_key(entity):
-        builder.parents[name] = stored
+        builder.parents[name] = builder.spark.read.parquet(f"{path}/{RUN}={number}")
+    stored = builder.spark.read.parquet(path).where(F.col(RUN) <= number)
     return {"kind": "table", "name": name, "format": "parquet", "path": path,
             "target_rows": builder.volume(entity["row_count"]), "rows": seen.get["rows"],
             "total_rows": stored.count(), "next_row": builder.offset + builder.volume(entity["row_count"])}
 
 
-def _write_file_source(builder: Builder, source: Spec, out: str) -> Spec:
-    path, kind = f"{out}/files/{source['output_dir']}", source["output_format"]
+def _write_file_source(builder: Builder, source: Spec, out: str, number: int) -> Spec:
+    root, kind = f"{out}/files/{source['output_dir']}", source["output_format"]
+    path = f"{root}/{RUN}={number}"
     names = [c["name"] for c in source["columns"]]
     settings = rates(builder.spec, source)
     rows = builder.file_source(source)
     # Rows are generated file by file, so each task already holds few files.
-    scope = {"seed": builder.seed, "scope": source["name"], "clustered": True}
+    scope = {"seed": builder.seed, "scope": source["name"], "clustered": True, "fresh": True}
     per_file = builder.rows or source["rows_per_file"]
     body = rows.select(files.FILE_KEY, *names)
     if kind == "csv":
@@ -148,13 +179,13 @@ def _write_file_source(builder: Builder, source: Spec, out: str) -> Spec:
         placed = rows.withColumn("position", F.expr(f"(`{ROW}` - {builder.offset}L) % {per_file}L"))
         files.write_sheets(placed.select(*names, files.FILE_KEY, "position"), path, rows_per_file=per_file,
                            summary=settings.get("summary_rows", False),
-                           split=settings.get("multi_sheet_split", False), sheet=source["sheet_name"])
+                           split=settings.get("multi_sheet_split", False), sheet=source["sheet_name"], fresh=True)
     else:
         keep = [c["name"] for c in source["columns"] if c.get("primary_key")]
         files.write_parquet(body, path, keep=keep, schema_evolution=settings.get("schema_evolution", False),
                             **scope)
     made = builder.file_rows(source)
-    return {"kind": "file", "name": source["name"], "format": kind, "path": path, "target_rows": made, "rows": made,
+    return {"kind": "file", "name": source["name"], "format": kind, "path": root, "target_rows": made, "rows": made,
             "next_row": builder.offset + made}
 
 

@@ -2,17 +2,20 @@
 
 A "file" of the specification is one ``file_date=...`` directory, so a large
 one is written by many tasks.  Spark writes one schema and one header mode per
-call; files that differ in either are written by separate appends, each of
-which filters by a draw on the file key before it computes anything else.
+call.  Where files differ in either, the rows are computed once and staged by
+variant; each variant's append reads its own part only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession, functions as F, types as T
 
 from messlab.operators import shape
+from messlab.sources.workspace import scratch
 
 FILE_KEY = "file_date"
 #: Options that read the times of written CSV files, with or without a fraction of a second.
@@ -54,10 +57,28 @@ def gathered(df: DataFrame, file_key: str, clustered: bool) -> DataFrame:
     return df if clustered else df.hint("rebalance", file_key)
 
 
+def staged(marked: DataFrame, keys: Sequence[str]) -> Iterator[tuple[Row, DataFrame]]:
+    """The rows by their values of ``keys``, few combinations, without these columns.
+
+    ``marked`` is computed once and written by combination; each part is then read alone.
+    """
+    spark, path = marked.sparkSession, scratch(marked.sparkSession, "variants")
+    marked.write.partitionBy(*keys).parquet(path)
+    rows = spark.read.schema(marked.schema).parquet(path)
+    for variant in rows.select(*keys).distinct().orderBy(*keys).collect():
+        same = [F.col(k).eqNullSafe(F.lit(variant[k])) for k in keys]
+        yield variant, rows.filter(reduce(and_, same)).drop(*keys)
+
+
+def sink(df: DataFrame, fresh: bool) -> DataFrameWriter:
+    """A writer that appends, or one that first empties the directory."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "static") if fresh else df.write.mode("append")
+
+
 def write_csv(df: DataFrame, path: str, *, file_key: str = FILE_KEY, missing_header_pct: float = 0.0,
               order_drift: bool = False, mixed_dates: bool = False, clustered: bool = False, seed: int = 42,
-              scope: str = "") -> None:
-    """Append CSV files; headers, column orders and date formats vary per file as asked."""
+              scope: str = "", fresh: bool = False) -> None:
+    """Append CSV files; headers, column orders and date formats vary per file as asked.  ``fresh`` replaces ``path``."""
     columns = [c for c in df.columns if c != file_key]
     if mixed_dates:
         times = [f.name for f in df.schema.fields
@@ -67,29 +88,29 @@ def write_csv(df: DataFrame, path: str, *, file_key: str = FILE_KEY, missing_hea
     marked = shape.header_missing(df, file_key, missing_header_pct, seed=seed, scope=scope)
     marked = shape.order_variant(marked, file_key, max(len(orders) - 1, 1),
                                  pct=shape.ORDER_DRIFT if order_drift else 0.0, seed=seed, scope=scope)
-    # At most two header modes times five column orders.
-    variants = marked.select("headerless", "order_variant").distinct().collect()
-    for variant in variants:
-        part = marked.filter((F.col("headerless") == variant["headerless"])
-                             & (F.col("order_variant") == variant["order_variant"]))
+    # At most two header modes times five column orders; a single one needs no staging.
+    one = [(Row(headerless=False, order_variant=0), df)]
+    several = missing_header_pct > 0 or order_drift
+    for variant, part in staged(marked, ["headerless", "order_variant"]) if several else one:
         chosen = part.select(file_key, *shape.csv_refs(part, orders[variant["order_variant"]]))
-        (gathered(chosen, file_key, clustered).write.mode("append").partitionBy(file_key)
+        (sink(gathered(chosen, file_key, clustered), fresh).partitionBy(file_key)
          .options(header=not variant["headerless"]).csv(path))
+        fresh = False
 
 
 def write_parquet(df: DataFrame, path: str, *, file_key: str = FILE_KEY, keep: Sequence[str] = (),
                   schema_evolution: bool = False, clustered: bool = False, seed: int = 42,
-                  scope: str = "") -> None:
+                  scope: str = "", fresh: bool = False) -> None:
     """Append Parquet files; with evolution some files lack one column not in ``keep``."""
     if not schema_evolution:
-        gathered(df, file_key, clustered).write.mode("append").partitionBy(file_key).parquet(path)
+        sink(gathered(df, file_key, clustered), fresh).partitionBy(file_key).parquet(path)
         return
     candidates = [c for c in df.columns if c != file_key and c not in keep]
     marked = shape.dropped_column(df, file_key, candidates, seed=seed, scope=scope)
-    for variant in marked.select("dropped").distinct().collect():
-        name = variant["dropped"]
-        part = marked.filter(F.col("dropped").eqNullSafe(F.lit(name))).drop("dropped", *([name] if name else []))
-        gathered(part, file_key, clustered).write.mode("append").partitionBy(file_key).parquet(path)
+    for variant, part in staged(marked, ["dropped"]):
+        kept = part.drop(variant["dropped"]) if variant["dropped"] else part
+        sink(gathered(kept, file_key, clustered), fresh).partitionBy(file_key).parquet(path)
+        fresh = False
 
 
 def read_evolved(spark: SparkSession, path: str) -> DataFrame:
@@ -99,19 +120,19 @@ def read_evolved(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(df: DataFrame, path: str, *, file_key: str = FILE_KEY, key: Sequence[str] | str | None = None,
                columns: Sequence[str] | None = None, nested: bool = False, missing: bool = False,
-               clustered: bool = False, seed: int = 42, scope: str = "") -> None:
+               clustered: bool = False, seed: int = 42, scope: str = "",
+               fresh: bool = False) -> None:
     """Append JSON Lines; nesting and missing keys vary per record as asked."""
     columns = list(columns or [c for c in df.columns if c != file_key])
     lines = shape.json_records(df, key or columns[0], columns, nested=shape.NESTED if nested else 0.0,
                                missing=shape.MISSING_KEYS if missing else 0.0, name="value", seed=seed,
                                scope=scope)
-    (gathered(lines.select(file_key, "value"), file_key, clustered)
-     .write.mode("append").partitionBy(file_key).text(path))
+    sink(gathered(lines.select(file_key, "value"), file_key, clustered), fresh).partitionBy(file_key).text(path)
 
 
 def write_sheets(df: DataFrame, path: str, *, rows_per_file: int, position: str = "position",
                  file_key: str = FILE_KEY, summary: bool = False, split: bool = False,
-                 sheet: str = "Sheet1") -> None:
+                 sheet: str = "Sheet1", fresh: bool = False) -> None:
     """Append the tables of one workbook per file, as Parquet under file_date=/sheet=.
 
     The column ``position`` is the row's place in its file.  The total row
@@ -126,7 +147,7 @@ def write_sheets(df: DataFrame, path: str, *, rows_per_file: int, position: str
         closing = shape.total_rows(df.drop(position), by=file_key).withColumn(
             "sheet", F.lit(f"{sheet}_2" if halves else sheet))
         body = shape.with_total_type(body).unionByName(closing)
-    body.write.mode("append").partitionBy(file_key, "sheet").parquet(path)
+    sink(body, fresh).partitionBy(file_key, "sheet").parquet(path)
 
 
 def file_manifest(files: DataFrame, entity: str, fmt: str) -> DataFrame:

@@ -13,6 +13,14 @@ def save_table(df: DataFrame, table: str, *, path: str | None = None, mode: str
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
+def register(spark: SparkSession, table: str, path: str) -> None:
+    """Make the partitioned files under ``path`` a table, or add new partitions to it; repeating it changes nothing."""
+    if not spark.catalog.tableExists(table):
+        spark.catalog.createTable(table, path=path, source="parquet")
+    spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
+
+
 def save_jdbc(df: DataFrame, url: str, table: str, *, properties: Mapping[str, str] | None = None,
               mode: str = "append", rows_per_insert: int = 10_000, connections: int | None = None) -> None:
     """Append over JDBC, one connection per task; ``connections`` bounds how many there are."""

@@ -236,3 +236,23 @@ def test_csv_keeps_fractions_and_ignores_the_zone(spark, zone):
         assert [r[0] for r in mixed] == texts
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_variants_read_their_source_once(spark):
+    """Headers, orders and evolved schemas, though each needs many writes; a second fresh write replaces the first."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    rows = dated(spark)
+    source, n = rows.mapInArrow(count, rows.schema), rows.count()
+    path = scratch(spark, "test-once")
+    for k in (1, 2):
+        files.write_csv(source, f"{path}/csv", missing_header_pct=0.5, order_drift=True, fresh=True)
+        files.write_parquet(source, f"{path}/parquet", keep=["id"], schema_evolution=True, fresh=True)
+        assert seen.value == 2 * k * n
+    assert files.read_evolved(spark, f"{path}/parquet").count() == n
+    headers = spark.read.text(f"{path}/csv").filter("value LIKE '%id%'").count()
+    assert spark.read.text(f"{path}/csv").count() - headers == n

@@ -178,6 +178,54 @@ def test_dump_keeps_old_pages_and_its_faults(spark, finished):
     assert last.select("n").distinct().count() == 380
 
 
+def test_finished_runs_are_not_overwritten(spark, finished):
+    with pytest.raises(ValueError, match="finished"):
+        runs.run(spark, UNIFIED, finished)
+
+
+def test_a_failed_run_is_repeated(spark, monkeypatch):
+    """The first run stops after its tables, the increment after its files; both are repeated."""
+    out = tempfile.mkdtemp(prefix="messlab-repeat-")
+    schema = "tracking string, at timestamp_ntz, file_date date"
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    def attempt(step, *arguments):
+        with monkeypatch.context() as patched:
+            patched.setattr(runs, step, stop)
+            with pytest.raises(RuntimeError):
+                arguments[0](spark, UNIFIED, out, *arguments[1:])
+    attempt("_write_file_source", runs.run)
+    runs.run(spark, UNIFIED, out)
+    attempt("_write_api", runs.run_increment, 40)
+    attempt("_write_api", runs.run_increment, 40)
+    runs.run_increment(spark, UNIFIED, out, 40)
+    clean = tempfile.mkdtemp(prefix="messlab-clean-")
+    runs.run(spark, UNIFIED, clean)
+    runs.run_increment(spark, UNIFIED, clean, 40)
+    for name in ("tables/kids", "tables/parents"):
+        one, two = (spark.read.parquet(f"{d}/{name}") for d in (out, clean))
+        assert one.count() == two.count() and one.exceptAll(two).isEmpty()
+    one, two = (spark.read.schema(schema).csv(f"{d}/files/out/ship") for d in (out, clean))
+    assert one.count() == two.count() and one.exceptAll(two).isEmpty()
+    same = [r.drop("run_timestamp", "execution_seconds", "path") for r in (runs.summary(spark, out), runs.summary(spark, clean))]
+    assert same[0].exceptAll(same[1]).isEmpty() and same[0].count() == same[1].count()
+
+
+def test_registered_table_takes_a_repeated_run(spark):
+    out = tempfile.mkdtemp(prefix="messlab-catalog-")
+    spark.sql("CREATE DATABASE IF NOT EXISTS repeated")
+    builder = Builder.of(spark, UNIFIED)
+    for _ in range(2):
+        runs.write_outputs(builder, out, 0, "repeated")
+    assert spark.table("repeated.kids").count() == 3000
+    runs.run(spark, UNIFIED, out, database="repeated")
+    runs.run_increment(spark, UNIFIED, out, 40, database="repeated")
+    assert spark.table("repeated.kids").count() == 3040
+    spark.sql("DROP DATABASE repeated CASCADE")
+
+
 def test_clean_tables_conform_and_faults_show(spark):
     spec = normalise(UNIFIED)
     kids = {**spec["tables"][0], "messiness": {}}
