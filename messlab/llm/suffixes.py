@@ -378,11 +378,9 @@ def merge_shards(size: int):
 
 # ----------------------------------------------------------------- whole tables
 
-def text_keys(text: Column, unit: Unit = BYTES) -> list[Column]:
-    """A text's bytes and the 128 bits that stand for them; of words, with one space between them."""
+def text_keys(text: Column) -> list[Column]:
+    """A text's bytes and the 128 bits that stand for them."""
     whole = F.coalesce(text, F.lit(""))
-    if unit == WORDS:
-        whole = F.trim(F.regexp_replace(whole, "[\\x20\\x09-\\x0D]+", " "))
     return [F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(7), whole).alias("k2"), whole.cast("binary").alias("text")]
 
 
@@ -430,16 +428,13 @@ def remaining(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def repeats(rows: DataFrame, size: int = 400, unit: Unit = BYTES) -> DataFrame:
     """(k1, k2, whole, text, spans) of the texts with repeats, of rows (k1, k2, text) as :func:`text_keys` makes them.
 
-    ``whole``: the text occurs in several rows and goes altogether; ``text`` and
+    ``whole``: the text occurs in several rows and goes altogether, if it has ``size`` symbols; ``text`` and
     ``spans`` are null then.  Otherwise the covered spans, not yet joined.
     """
     if size < 2 * unit.gram:
         raise ValueError(f"size must be {2 * unit.gram} or more")
-    if unit == BYTES:
-        rows = rows.where(F.length("text") >= size)
-    else:
-        words = F.col("text").cast("string")
-        rows = rows.where((words != "") & (F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) >= size - 1))
+    # Words have a byte each and one between them; texts of fewer words have no stretches.
+    rows = rows.where(F.length("text") >= (size if unit == BYTES else 2 * size - 1))
     found = stored(rows.mapInArrow(find_stretches(size, unit), "k1 long, k2 long, h long, first long, last long, "
                                    "again boolean, content long"), "stretches")
     copies = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
@@ -560,9 +555,12 @@ def remove_passages(docs: DataFrame, text: str = "text", words: int = 50) -> Dat
     equal words are copies of each other and lose all words.  Null texts stay null, shorter texts stay whole.
     """
     one, two, whole, spans = (free(docs, name) for name in ("_k1", "_k2", "_whole", "_spans"))
-    k1, k2, body = text_keys(F.col(text), WORDS)
+    k1, k2, body = text_keys(F.col(text))
     found = repeats(docs.select(k1, k2, body), words, WORDS).select(
         F.col("k1").alias(one), F.col("k2").alias(two), F.col("whole").alias(whole), F.col("spans").alias(spans))
     joined = docs.join(found, (k1 == F.col(one)) & (k2 == F.col(two)), "left")
-    left = F.when(F.coalesce(F.col(whole), F.lit(False)), F.lit("")).otherwise(cut_words()(F.col(text), F.col(spans)))
+    # Equal texts of fewer words are no passages; only copies are counted here.
+    long = F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")) >= words
+    left = F.when(F.coalesce(F.col(whole), F.lit(False)), F.when(long, F.lit("")).otherwise(F.col(text))).otherwise(
+        cut_words()(F.col(text), F.col(spans)))
     return joined.withColumn(text, left).select(*docs.columns)
