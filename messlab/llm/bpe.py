@@ -160,14 +160,17 @@ def round_trip(model: bytes, pattern: str):
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model, pattern)
         decimal = [str(i) for i in range(len(own.token_bytes))]
-        for texts in batches:
-            rows = []
-            for text in texts:
-                ids = own.encode(text or "")
-                rows.append((len(ids),
-                             hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
-                             hashlib.sha256(own.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                rows = []
+                for text in texts:
+                    ids = own.encode(text or "")
+                    rows.append((len(ids),
+                                 hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
+                                 hashlib.sha256(own.decode(ids)).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:  # the worker lives on; a later stage needs the memory
+            own.kept.clear()
     return digest.asNondeterministic()
 
 
