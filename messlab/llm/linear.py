@@ -133,13 +133,17 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"dense": None}
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
-        """(rows, classes) sums of the weights of the features that a text has, plus bias."""
+    def margins(self, texts: list[str | None], group: int = 256) -> np.ndarray:
+        """(rows, classes) sums of the weights of the features that a text has, plus bias; for some texts at a time."""
         if self.dense is None:
             self.dense = np.zeros((1 << self.bits, len(self.bias)), np.float32)
             for k, (at, w) in enumerate(zip(self.places, self.values)):
                 self.dense[at, k] = w
             self.used = (self.dense != 0).any(1)
+        own = [self._margins(texts[k:k + group]) for k in range(0, len(texts), group)]
+        return np.concatenate([np.zeros((0, len(self.bias))), *own])
+
+    def _margins(self, texts: list[str | None]) -> np.ndarray:
         met = [np.zeros(0, np.int64)]
         for rows, at in features(texts, self.grams, self.bits):
             some = np.flatnonzero(self.used[at])
