@@ -320,5 +320,5 @@ def _value(kind: str, spec: dict, row_dice: Dice, slot_dice: Dice, row: str, tot
             return stamp
         if kind == "date":
             return F.to_date(stamp)
-        return F.date_format(stamp, spark_pattern(spec.get("format", "%Y-%m-%d")))
+        return F.expr(text_sql(to_ntz(moment(spec, row_dice, window)), spec.get("format", "%Y-%m-%d")))
     return F.lit(None).cast(T.StringType())

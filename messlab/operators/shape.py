@@ -91,7 +91,8 @@ def mixed_dates(df: DataFrame, file_key: str, columns: Sequence[str], *, pct: fl
         value = time_text(F.col(quote(c)))
         for j, fmt in enumerate(DATE_FORMATS):
             hit = (F.col("__which") == i) & (F.col("__format") == j)
-            value = F.when(hit, F.date_format(F.col(quote(c)), spark_pattern(fmt))).otherwise(value)
+            is_date = isinstance(df.schema[c].dataType, T.DateType)
+            value = F.when(hit, F.expr(text_sql(quote(c), fmt, is_date=is_date))).otherwise(value)
         changes[c] = value
     return unroll(staged.withColumns(changes).drop("__which", "__format"), dice)
 
