@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from messlab.functions.columns import Window, generate
 from messlab.functions.formats import PARTS, text_sql
+from messlab.operators import shape
 
 #: Clocks in Sao Paulo skipped this hour, and the UTC day before it has other texts in both zones.
 GAP = datetime.datetime(2018, 11, 4, 0, 10, 5, 250)
@@ -28,6 +29,20 @@ def test_generated_date_strings(spark, zone):
     assert {tuple(r) for r in found.collect()} == {("2018-11-04", "04/11/2018 00:10:05")}
 
 
+def test_mixed_dates_in_every_format(spark, zone):
+    """All files hit: a date and a time are written as one of the formats, the other stays; nulls stay null."""
+    rows = spark.range(60).select(
+        F.col("id").alias("file_date"), F.lit("2018-11-04").cast("date").alias("d"),
+        F.when(F.col("id") < 59, F.lit(str(GAP)).cast("timestamp_ntz")).alias("t"))
+    found = shape.mixed_dates(rows, "file_date", ["d", "t"], pct=1.0).collect()
+    texts = {GAP.strftime(f) for f in shape.DATE_FORMATS}
+    days, times = {r["d"] for r in found} - texts, {r["t"] for r in found if r["file_date"] < 59} - texts
+    assert len(days) == 1 and days.pop().startswith("2018-11-04") and times == {"2018-11-04 00:10:05.00025"}
+    assert {r[c] for r in found for c in "dt"} >= texts
+    assert all((r["d"] in texts) != (r["t"] in texts) for r in found if r["file_date"] < 59)
+    assert found and [r["t"] for r in found if r["file_date"] == 59] == [None]
+
+
 def test_directives_equal_strftime(spark, zone):
     times = [GAP, datetime.datetime(1999, 12, 31, 12, 0), datetime.datetime(2024, 2, 29, 23, 59, 59, 999999), None]
     rows = spark.createDataFrame([(i, str(t) if t else None) for i, t in enumerate(times)], "i int, s string")
