@@ -23,6 +23,8 @@ from messlab.llm.workers import importable
 MIXTURE = (0.93, 0.0, 0.07)
 #: Words of a shingle, and the similarity from which texts are near copies.
 WIDTH, SIMILARITY = 5, 0.8
+#: Differing bits up to which operator 5 links fingerprints.
+RADIUS = 3
 #: Words of the shortest passage that counts as repeated.
 PASSAGE = 50
 
@@ -38,9 +40,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one document of each group of near copies, five-word similarity 0.8 and more."""
+    """Operator 5, confirmed: one document of each group of near copies, five-word similarity 0.8 and more.
+
+    SimHash links and, for copies further apart than its radius, MinHash keys name the candidates; an exact
+    comparison decides.
+    """
     importable(spark)
-    return shingles.keep_first(docs, width=WIDTH, similarity=SIMILARITY)
+    return shingles.keep_first(docs, width=WIDTH, similarity=SIMILARITY, radius=RADIUS)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

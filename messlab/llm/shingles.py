@@ -4,13 +4,17 @@ Two texts are near copies if the Jaccard similarity of their sets of shingles
 (runs of ``width`` words, case aside) reaches the threshold; groups are the
 connected components.
 
-Candidates come from MinHash: a text has one key per band, and texts that share
-a key meet.  At similarity 0.8 a pair shares none of the 24 keys with the
-chance 7e-5.  Texts joined by shared keys, over any number of steps, form a
-family, so a text is looked at in one place only.  Families are compared
-exactly, in blocks of bounded size of which every pair meets; in a block an
-index from shingles to texts counts what one text shares with all others, until
-no two texts are left that could still link and are not in one group.
+Candidates come from operator 5, SimHash (:mod:`messlab.llm.simhash`): texts
+meet if their fingerprints, over shingles of the same width, link within the
+radius.  A similarity of 0.8 is about ten bits, which a small radius seldom
+finds, so MinHash adds candidates: a text has one key per band, and texts that
+share a key meet.  At similarity 0.8 a pair shares none of the 24 keys with the
+chance 7e-5.  Texts joined by links or shared keys, over any number of steps,
+form a family, so a text is looked at in one place only.  The exact check
+follows: families are compared, in blocks of bounded size of which every pair
+meets; in a block an index from shingles to texts counts what one text shares
+with all others, until no two texts are left that could still link and are not
+in one group.
 
 Texts of the same words are one row from the start.  Null and empty texts have
 no shingles and are copies of each other; texts of fewer words than a shingle
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from messlab.llm.blocks import blocked, whole_runs
 from messlab.llm.components import components
 from messlab.llm.linear import mix
-from messlab.llm.simhash import first_of_groups
+from messlab.llm.simhash import fingerprint_groups, fingerprint_of, first_of_groups, words_of
 from messlab.llm.storage import free, stored
 
 #: Keys of a text, and minima that a key is made of.
@@ -42,10 +46,6 @@ SEED = 42
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # splits at 0x20 and 0x09 to 0x0D
-
-
 def shingles(words: list[bytes], width: int) -> np.ndarray:
     """The distinct 64-bit hashes of the shingles, sorted."""
     if not words:
@@ -72,17 +72,19 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch_of(words: list[bytes], width: int) -> tuple[bytes, np.ndarray]:
-    return xxhash.xxh3_128_digest(b" ".join(words)), band_keys(shingles(words, width))
+def sketch_of(words: list[bytes], width: int) -> tuple[bytes, np.ndarray, int]:
+    print_ = fingerprint_of(words, width)
+    return (xxhash.xxh3_128_digest(b" ".join(words)), band_keys(shingles(words, width)),
+            print_ - (1 << 64) if print_ >> 63 else print_)
 
 
 def sketches(width: int):
-    """A column function: text to (same, keys); ``same`` is a digest of its words."""
-    @F.pandas_udf("same binary, keys array<long>")
+    """A column function: text to (same, keys, print); ``same`` is a digest of its words."""
+    @F.pandas_udf("same binary, keys array<long>, print long")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             # One text at a time: the words of a batch take many times its bytes.
-            yield pd.DataFrame([sketch_of(words_of(t), width) for t in texts], columns=["same", "keys"])
+            yield pd.DataFrame([sketch_of(words_of(t), width) for t in texts], columns=["same", "keys", "print"])
     return sketch.asNondeterministic()
 
 
@@ -137,25 +139,35 @@ def block_groups(similarity: float):
     return run
 
 
-def families(members: DataFrame) -> DataFrame:
-    """(member, family) of ``members(member, keys)`` that share a key with another one."""
-    keyed = members.select("member", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("member").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = keyed.join(least, "key").select(F.col("member").alias("a"), "b")
+def families(members: DataFrame, radius: int) -> DataFrame:
+    """(member, family) of ``members(member, keys, print)`` whose print links with another's, or that share a key."""
+    # Texts without shingles are one member, similar to no other.
+    printed = members.where(F.size("keys") > 0).select("member", "print")
+    groups = fingerprint_groups(printed, radius)
+    # A print without links is its own group.
+    linked = printed.join(groups, "print", "left").select(
+        "member", F.struct(F.col("component").isNull(), F.coalesce("component", "print")).alias("key"))
+    edges = meeting(linked).unionAll(meeting(members.select("member", F.explode("keys").alias("key"))))
     return components(edges).select(F.col("node").alias("member"), F.col("component").alias("family"))
 
 
+def meeting(keyed: DataFrame) -> DataFrame:
+    """(a, b): the members of ``keyed(member, key)`` that share a key with another one, with the smallest of them."""
+    least = keyed.groupBy("key").agg(F.min("member").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(least, "key").select(F.col("member").alias("a"), "b")
+
+
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5,
-               similarity: float = 0.8) -> DataFrame:
+               similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """The documents, all columns, of which one of each group is left: the smallest id, then the smallest text.
 
-    Of rows equal in both, one is left.
+    Of rows equal in both, one is left.  ``radius`` is that of the fingerprints, by which candidates are found.
     """
     marked = docs.select(F.col(id).alias("i"), F.xxhash64(text).alias("t"), sketches(width)(F.col(text)).alias("s"))
     first = F.min(F.struct(F.col("i").isNull().alias("n"), "i", "t")).alias("first")
-    members = stored(marked.select("i", "t", "s.*").groupBy("same").agg(first, F.first("keys").alias("keys"))
+    members = stored(marked.select("i", "t", "s.*").groupBy("same").agg(first, F.first("keys").alias("keys"), F.first("print").alias("print"))
                      .withColumn("member", F.monotonically_increasing_id()), "members")
-    related = families(members).join(members.select("member", "first"), "member").select(
+    related = families(members, radius).join(members.select("member", "first"), "member").select(
         "member", "family", F.col("first.i").alias("i"), F.col("first.t").alias("t"))
     texts = docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")).join(
         related, F.col("_id").eqNullSafe(F.col("i")) & F.col("_hash").eqNullSafe(F.col("t")))

@@ -38,9 +38,16 @@ SEED = 42
 HASHES = 1 << 16
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # splits at 0x20 and 0x09 to 0x0D
+
+
 def fingerprint(text: str | None, width: int) -> int:
     """The 64-bit fingerprint of one whole text."""
-    words = (text or "").encode().lower().split()  # splits at 0x20 and 0x09 to 0x0D
+    return fingerprint_of(words_of(text), width)
+
+
+def fingerprint_of(words: list[bytes], width: int) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
