@@ -64,7 +64,7 @@ FROM parts
 
 @query
 def op2_suffix_dedup(spark, sf):
-    return suffixes.removal_digests(load(spark, sf, "documents"))
+    return suffixes.removal_digests(load(spark, sf, "documents"), words=50)
 
 
 @query

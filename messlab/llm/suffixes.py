@@ -42,8 +42,10 @@ from messlab.llm.storage import free, stored
 
 #: Windows looked at in one go.
 PIECE = 1 << 18
-#: Stretches of one hash in a shard, on average; bytes of a shard.
-STRETCHES, SHARD = 2048, 1_300_000
+#: Bytes of short texts looked at side by side; their numbers fit a core's cache.
+BUNCH = 1 << 16
+#: Stretches of one hash in a shard, on average; symbols of a shard.
+STRETCHES, SHARD = 2048, 325_000
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,16 @@ class Unit:
         """A text's symbols, ``width`` bytes each."""
         return text if self.width == 1 else codes_of(text)
 
+    def bodies(self, texts: list[bytes]) -> list[bytes]:
+        """:meth:`body` of each text, in one go."""
+        if self.width == 1:
+            return texts
+        joined = b" ".join(texts)
+        lengths = np.array([len(t) + 1 for t in texts])
+        edges = np.searchsorted(word_borders(np.frombuffer(joined, np.uint8))[0], np.cumsum(lengths)) * self.width
+        codes, edges = codes_of(joined), [0, *edges.tolist()]
+        return [codes[a:b] for a, b in zip(edges, edges[1:])]
+
     def symbols(self, body: bytes) -> np.ndarray:
         return np.frombuffer(body, np.uint8 if self.width == 1 else np.uint64)
 
@@ -125,29 +137,72 @@ def stretches(text: bytes, size: int, unit: Unit = BYTES) -> tuple[np.ndarray, .
     return tuple(map(np.concatenate, (hashes, firsts, lasts, agains)))
 
 
+def stretches_of(bodies: list[bytes], size: int, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
+    """(text, hash, first window, last window, whether several grams have the hash) of the stretches of short texts, side by side."""
+    width, lengths = size - unit.gram + 1, np.array([len(b) // unit.width for b in bodies])
+    data, starts = unit.symbols(b"".join(bodies)), np.cumsum(lengths) - lengths
+    windows = np.maximum(lengths - size + 1, 0)
+    if not windows.any():
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.uint64, np.int64, np.int64, bool))
+    grams = gram_hashes(data, unit)
+    least = sliding_least(grams, width)
+    text = np.repeat(np.arange(len(bodies)), windows)
+    within = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = starts[text] + within  # windows inside one text
+    own = least[at]
+    cuts = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (within[1:] == 0)) + 1, [len(own)]])
+    runs = np.diff(cuts)
+    if runs.max() > width:  # periodic text: one hash for very long
+        pieces = -(-runs // width)
+        inside = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        cuts = np.append(np.repeat(cuts[:-1], pieces) + inside * width, len(own))
+    # A gram has the least hash of some window if the greatest least of its windows is its own hash.
+    edge, inner = np.zeros(width - 1, np.uint64), np.zeros(len(least), np.uint64)
+    inner[at] = own
+    ruling = np.flatnonzero(~sliding_least(~np.concatenate([edge, inner, edge]), width) == grams)
+    # Texts and hashes as one number; numbers that meet by chance only send a stretch that need not go.
+    number = np.arange(1, len(bodies) + 1).astype(np.uint64) * np.uint64(BASE)
+    several = np.sort(_mix(grams[ruling] + number[np.searchsorted(starts, ruling, "right") - 1]))
+    several = np.unique(several[1:][several[1:] == several[:-1]])
+    first, last = cuts[:-1], cuts[1:] - 1
+    again = np.isin(_mix(own[first] + number[text[first]]), several)
+    return text[first], own[first], within[first], within[last], again
+
+
 def find_stretches(size: int, unit: Unit = BYTES):
     """For mapInArrow over (k1, k2, text): the stretches of each text, met copies left out."""
+    def found_in(texts: list[bytes], rows: list[int]) -> tuple:
+        bodies = unit.bodies(texts)
+        if len(bodies) == 1:
+            found = stretches(bodies[0], size, unit)
+            found = np.zeros(len(found[0]), np.int64), *found
+        else:
+            found = stretches_of(bodies, size, unit)
+        contents = [xxhash.xxh64_intdigest(bodies[t][a * unit.width:(b + size) * unit.width])
+                    for t, a, b in zip(*(found[k].tolist() for k in (0, 2, 3)))]
+        return np.array(rows)[found[0]], *found[1:], np.array(contents, np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2, texts = batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), batch.column("text")
             met: set[tuple[int, int]] = set()
-            rows, columns, contents = [], ([], [], [], []), []
+            out, some, rows, held = [], [], [], 0
             for r, key in enumerate(zip(k1.tolist(), k2.tolist())):
                 if key not in met:
                     met.add(key)
-                    text = unit.body(texts[r].as_py())
-                    found = stretches(text, size, unit)
-                    contents += [xxhash.xxh64_intdigest(text[a * unit.width:(b + size) * unit.width])
-                                 for a, b in zip(*map(np.ndarray.tolist, found[1:3]))]
-                    rows.append(np.full(len(found[0]), r))
-                    for column, values in zip(columns, found):
-                        column.append(values)
-            if rows:
-                at = np.concatenate(rows)
-                h, first, last, again = (np.concatenate(c) for c in columns)
+                    text = texts[r].as_py()
+                    if some and held + len(text) > BUNCH:
+                        out.append(found_in(some, rows))
+                        some, rows, held = [], [], 0
+                    some.append(text)
+                    rows.append(r)
+                    held += len(text)
+            if some:
+                out.append(found_in(some, rows))
+                at, h, first, last, again, contents = (np.concatenate(c) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (k1[at], k2[at], h.view(np.int64), first, last, again,
-                                           np.array(contents, np.uint64).view(np.int64))],
+                                           contents.view(np.int64))],
                     ["k1", "k2", "h", "first", "last", "again", "content"])
     return run
 
@@ -343,7 +398,7 @@ def solve_shards(size: int, unit: Unit = BYTES):
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if row[:2] != group:
-                    if held > SHARD:
+                    if held > SHARD * unit.width:
                         # The last whole group may pass the mark; it goes with the next shard.
                         yield solve(rows[:begun] or rows)
                         rows = rows[begun:] if begun else []
@@ -425,11 +480,12 @@ def remaining(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def repeats(rows: DataFrame, size: int = 400, unit: Unit = BYTES) -> DataFrame:
+def repeats(rows: DataFrame, size: int = 400, unit: Unit = BYTES, sized: bool = False) -> DataFrame:
     """(k1, k2, whole, text, spans) of the texts with repeats, of rows (k1, k2, text) as :func:`text_keys` makes them.
 
     ``whole``: the text occurs in several rows and goes altogether, if it has ``size`` symbols; ``text`` and
-    ``spans`` are null then.  Otherwise the covered spans, not yet joined.
+    ``spans`` are null then.  Otherwise the covered spans, not yet joined.  If ``sized``, ``spans`` of a whole text
+    is the one span of all its symbols, null if it has fewer than ``size``.
     """
     if size < 2 * unit.gram:
         raise ValueError(f"size must be {2 * unit.gram} or more")
@@ -470,8 +526,12 @@ def repeats(rows: DataFrame, size: int = 400, unit: Unit = BYTES) -> DataFrame:
     listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     partly = texts.where("copies = 1").select("k1", "k2", "text").join(listed, ["k1", "k2"])
     wholly = info.where("copies > 1").select("k1", "k2")
-    return wholly.select("k1", "k2", F.lit(True).alias("whole"), F.lit(None).cast("binary").alias("text"),
-                         F.lit(None).cast(listed.schema["spans"].dataType).alias("spans")).unionAll(
+    if sized:  # the last window of a text ends with it
+        span = F.struct(F.lit(0).cast("long").alias("start"), (F.max("last") + size).alias("stop"))
+        wholly = wholly.join(found.groupBy("k1", "k2").agg(F.array(span).alias("spans")), ["k1", "k2"], "left")
+    else:
+        wholly = wholly.withColumn("spans", F.lit(None).cast(listed.schema["spans"].dataType))
+    return wholly.select("k1", "k2", F.lit(True).alias("whole"), F.lit(None).cast("binary").alias("text"), "spans").unionAll(
         partly.select("k1", "k2", F.lit(False), "text", "spans"))
 
 
@@ -502,19 +562,45 @@ def cut_text():
     return cut.asNondeterministic()
 
 
-def removal_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 400) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
+def span_counts(spans: Column) -> Column:
+    """(spans, symbols in them) of a list of spans, overlapping and touching ones joined."""
+    none = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("spans"),
+                    F.lit(0).cast("long").alias("symbols"))
+
+    def add(so_far: Column, span: Column) -> Column:
+        end = so_far["end"]
+        fresh = F.greatest(span["stop"] - F.greatest(span["start"], end), F.lit(0))
+        return F.struct(F.greatest(end, span["stop"]).alias("end"),
+                        (so_far["spans"] + (span["start"] > end).cast("long")).alias("spans"),
+                        (so_far["symbols"] + fresh).alias("symbols"))
+    return F.aggregate(F.array_sort(spans), none, add)
+
+
+def removal_digests(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 400,
+                    words: int | None = None) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``words``, n_passages and n_passage_words follow: the passages that :func:`remove_passages` takes out, and
+    the words in them.  The columns before are those of strings of ``size`` bytes all the same.
+    """
     found = repeats(docs.select(*text_keys(F.col(text))), size).select(
         "k1", "k2", "whole", cut_digest()("text", "spans").alias("cut"))
     k1, k2, body = text_keys(F.col(text))
     rows = docs.select(F.col(id).alias("_id"), k1, k2, body).select(
         "_id", "k1", "k2", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     whole = F.coalesce("whole", F.lit(False))
-    return rows.join(found, ["k1", "k2"], "left").select(
+    joined, passages = rows.join(found, ["k1", "k2"], "left"), []
+    if words is not None:
+        joined = joined.join(repeats(docs.select(*text_keys(F.col(text))), words, WORDS, sized=True).select(
+            "k1", "k2", span_counts(F.col("spans")).alias("passages")), ["k1", "k2"], "left")
+        passages = [F.coalesce("passages.spans", F.lit(0)).cast("long").alias("n_passages"),
+                    F.coalesce("passages.symbols", F.lit(0)).cast("long").alias("n_passage_words")]
+    return joined.select(
         F.col("_id").alias(id), "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("cut.n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("cut.n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("cut.kept_sha256", "own")).alias("kept_sha256"))
+        F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("cut.kept_sha256", "own")).alias("kept_sha256"),
+        *passages)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", size: int = 400) -> DataFrame:
